@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +18,25 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = (1 << 63) - 1
 
 _made: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python this package, once per application; they need no copy of it installed."""
+    if (app := spark.sparkContext.applicationId) in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="quillspark-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
 
 
 def pick(df: DataFrame, **kinds: str) -> DataFrame:
     """The columns named by exact spelling, cast to the given types; all others go, whatever their names."""
+    ship(df.sparkSession)
     cols = df.columns
     plain = df.toDF(*(f"_{i}" for i in range(len(cols))))
     return plain.select(*(F.col(f"_{cols.index(k)}").cast(v).alias(k) for k, v in kinds.items()))
@@ -34,7 +51,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors and the driver see: spark.checkpoint.dir, or (unset, as in tests) a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillspark-", dir=None)
+        base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 

@@ -6,8 +6,14 @@ import importlib
 
 #: Operator number: (module, function, name of its SQL or None).
 _OPERATORS = {
+    1: ("html_extract", "op1_html_extract", None),
     2: ("line_dedup", "op2_line_dedup", "OP2_SQL"),
+    3: ("packing", "op3_best_fit_packing", None),
     4: ("exact_dedup", "op4_exact_dedup", "OP4_SQL"),
+    5: ("warc", "op5_warc", "OP5_SQL"),
+    6: ("sentencepiece_codec", "op6_sentencepiece", None),
+    9: ("language_id", "op9_language_id", None),
+    10: ("top_k", "op10_top_k", "OP10_SQL"),
 }
 
 
