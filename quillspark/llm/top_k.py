@@ -92,10 +92,10 @@ def _second_phase(batches, k: int, segments: int):
             q, c = np.frombuffer(q).reshape(len(q_ids), dim), np.frombuffer(c).reshape(len(c_ids), dim)
             lists = _partials(q, c, segments)
             lows = [s.min(axis=1, keepdims=True) for s in lists]
-            over = (cut[:, None] - sum(lows[1:], lows[0])) / segments
+            over = cut[:, None] - sum(lows[1:], lows[0])
             enough = np.zeros(lists[0].shape, bool)
             for s, low in zip(lists, lows, strict=True):
-                enough |= (s >= low + over).astype(bool)
+                enough |= ((s - low) * segments >= over).astype(bool)
             at_q, at_c = np.nonzero(enough)
             total = sum((s[at_q, at_c] for s in lists[1:]), lists[0][at_q, at_c])
             good = (total >= cut[at_q]).astype(bool) & (q_ids[at_q] != c_ids[at_c])
