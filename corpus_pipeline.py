@@ -1,8 +1,60 @@
-"""The corpus pipeline: stages over documents, each written and read again before the next."""
+"""The corpus pipeline over `documents`: language ID, line dedup, n-gram Jaccard join, suffix-array dedup, best-fit packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir), works on all rows it gets and returns a DataFrame, which is written as Parquet and read again as the next one's
+docs. All but the last return the columns of documents; where a stage changes texts, n_chars follows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import language_id, line_dedup, ngram_join, packing, suffix_dedup
+from quillspark.llm.common import written
+
+#: A text is rejected if it has no letter or its language's score is below this.
+LEAST_SCORE = 0.5
+
+
+def _with_text(docs: DataFrame, done: DataFrame) -> DataFrame:
+    """The columns of `docs` out of `done`, with kept_text as text."""
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return done.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.accepted(docs, language_id.fitted(docs), LEAST_SCORE)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _with_text(docs, line_dedup.with_kept_text(docs))
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.representatives(docs)
+
+
+def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _with_text(docs, suffix_dedup.deduplicated(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, packing.vocabulary_path(packing.VOCABULARY))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("ngram_join", dedup_near),
+    ("suffix_dedup", dedup_passages),
+    ("packing", pack),
+]
+#: Language ID, the Jaccard join, suffix dedup and tokenisation have no SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

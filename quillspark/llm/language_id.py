@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, ship
 from .units import slices
 
 SAMPLE, BITS, GRAMS = 3000, 17, 3
@@ -173,6 +173,23 @@ def predicted(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> Dat
     return base.mapInArrow(run, "doc_id long, held_out boolean, " + "".join(f"`{k}` {kinds[k]}, " for k in extra) + "lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of `docs` whose text has letters and whose language is predicted with a score of at least `least`."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+    plain = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
+
+    def run(batches):
+        for batch in batches:
+            for a, b in slices(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()):
+                rows = batch.slice(a, b - a)
+                names, scores = shared.value.predict([x or "" for x in rows.column(at).to_pylist()])
+                yield rows.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return predicted(docs, fitted(docs))

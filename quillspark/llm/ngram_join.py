@@ -274,18 +274,36 @@ def links(docs: DataFrame, rows: DataFrame, words: int = WORDS, percent: int = P
     return ordered.mapInArrow(lambda b: _families(b, percent), "u long, v long")
 
 
+def _named(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """classes(), and (cid, root) of every class that isn't empty: linked classes have one root."""
+    rows = written(classes(docs, how.get("words", WORDS), how.get("long", LONG)), "join-classes")
+    tied = components(links(docs, rows, **how)).select(F.col("node").alias("cid"), "root")
+    some = rows.filter("n > 0").select("cid").distinct()
+    return rows, written(some.join(tied, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root")), "join-named")
+
+
 def component_ids(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    rows = written(classes(docs, how.get("words", WORDS), how.get("long", LONG)), "join-classes")
-    tied = components(links(docs, rows, **how))
-    first = rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"))
-    named = first.join(tied.select(F.col("node").alias("cid"), "root"), "cid", "left").select("cid", "first", F.coalesce("root", "cid").alias("root"))
-    named = written(named, "join-named")
-    least = named.groupBy("root").agg(F.min("first").alias("component"))
-    by_class = named.join(least, "root").select("cid", "component")
-    out = rows.filter("n > 0").select("doc_id", "n", "cid").join(by_class, "cid").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    rows, named = _named(docs, **how)
+    first = rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first")).join(named, "cid")
+    least = first.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_class = named.join(least, "root").select("cid", "component_id")
+    out = rows.filter("n > 0").select("doc_id", "n", "cid").join(by_class, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionAll(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
+def representatives(docs: DataFrame, **how) -> DataFrame:
+    """The rows of `docs` less all but one of each component, the one with the smallest doc_id. Rows with an empty set stay; of rows equal in doc_id
+    and text one stays."""
+    rows, named = _named(docs, **how)
+    first = rows.filter("n > 0").groupBy("cid").agg(F.min(F.struct("dk", "th")).alias("row")).join(named, "cid")
+    stay = first.groupBy("root").agg(F.min("row").alias("row")).select("row.dk", "row.th").unionAll(rows.filter("n = 0").select("dk", "th").distinct())
+    cols = docs.columns
+    plain = docs.toDF(*(f"_{i}" for i in range(len(cols))))
+    body = F.col(f"_{cols.index('text')}").cast("string")
+    keyed = plain.withColumns({"dk": F.coalesce(F.col(f"_{cols.index('doc_id')}").cast("long"), F.lit(NO_ID)), "th": F.xxhash64(body)})
+    return keyed.join(stay, ["dk", "th"], "left_semi").dropDuplicates(["dk", "th"]).drop("dk", "th").toDF(*cols)
+
+
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
     return component_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"))
