@@ -13,6 +13,8 @@ rows equal in all columns. An empty table gives no rows. Other columns are ignor
 from __future__ import annotations
 
 import bisect
+import functools
+import json
 import zlib
 
 import numpy as np
@@ -22,32 +24,61 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import parts, pick, written
-from .units import Units, slices
+from .units import slices
 
 CAPACITY, END_ID = 1024, 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Unicode's White_Space property, as the vocabulary's pattern takes it. Fixed values.
-WHITE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680))) + f"{chr(0x2000)}-{chr(0x200A)}" + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-#: Where the vocabulary's pattern always cuts: a word with the space before it; white space before the last one ahead of a word.
-UNIT = f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]"
+#: The pattern by which byte-level BPE vocabularies cut texts. Fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabularies spell bytes: printable ones stand for themselves, the others follow from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library."""
+    """Ids of whole texts as the tokenizers library gives them.
+
+    A byte-level BPE vocabulary whose merges come in the order of the ids they make is the same as a table of ranks; texts are then encoded by ranks, a
+    faster way to the same ids. All else goes through the tokenizers library: any other vocabulary, and texts that spell a special token."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.units = Units(UNIT, lambda new: [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)])
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """A text that spells a special token is encoded as one, since the token changes what is white space's end around it."""
-        odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        plain = iter(self.units.of(t for i, t in enumerate(texts) if i not in odd))
-        whole = lambda t: np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return [whole(t) if i in odd else next(plain) for i, t in enumerate(texts)]
+        self.by_rank = None
+        if ranks := self._ranks(path):
+            import tiktoken
+
+            self.by_rank = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    @staticmethod
+    def _ranks(path: str) -> dict[bytes, int] | None:
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        model, first = told["model"], told.get("pre_tokenizer") or {}
+        if model.get("type") != "BPE" or told.get("normalizer") or first.get("type") != "ByteLevel" or first.get("add_prefix_space") or not first.get("use_regex", True):
+            return None
+        letters, special = _byte_letters(), {t["content"] for t in told["added_tokens"]}
+        made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if made != sorted(made) or model.get("dropout") or any(made[0] < model["vocab"].get(c, made[0]) for c in letters):
+            return None
+        return {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+
+    def of(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if self.by_rank and not any(s in text for s in self.special):
+            return np.array(self.by_rank(text), "<u4").tobytes()
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One to a worker, which keeps it from task to task."""
+    return Encoder(path)
 
 
 def vocabulary_path(name: str) -> str:
@@ -65,14 +96,14 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder(path)
+        coder = encoder(path)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             for a, b in slices(sizes):
                 rows = []
-                for key, ids in zip(keys[a:b], encoder.of([x or "" for x in texts.slice(a, b - a).to_pylist()]), strict=True):
-                    ids += end
+                for key, text in zip(keys[a:b], texts.slice(a, b - a).to_pylist(), strict=True):
+                    ids = coder.of(text or "") + end
                     n, at, k = len(ids) // 4, 0, 0
                     while at < n:
                         size = (n % capacity or capacity) if at == 0 else capacity
