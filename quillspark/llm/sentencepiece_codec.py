@@ -11,7 +11,9 @@ ignored. Text that spells a control piece (such as <s>) is ordinary text, as in
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
 import struct
 import zlib
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from .common import pick
 from .packing import vocabulary_path
-from .units import Units, slices
+from .units import Units, divided, slices
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -79,14 +81,16 @@ class Codec:
         self.kind, self.fallback = trainer.get(3, UNIGRAM), bool(trainer.get(35, 0))
         self.charsmap, self.prefix, self.squeeze = rules.get(2, b""), bool(rules.get(3, 1)), bool(rules.get(4, 1))
         self.tokenizer = self._tokenizer()
-        crosses = any(MARK in p.lstrip(MARK) for p, t in zip(self.pieces, self.types, strict=True) if t in (NORMAL, USER))
-        self.units = Units("(?s).+" if crosses else f"{MARK}*[^{MARK}]+|{MARK}+", self._encode_units)
+        self.crosses = any(MARK in p.lstrip(MARK) for p, t in zip(self.pieces, self.types, strict=True) if t in (NORMAL, USER))
+        self.find = re.compile("(?s).+" if self.crosses else f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        self.units = Units(self._encode_units)
         self.theirs = None
         if verify:
             import sentencepiece
 
             self.theirs = sentencepiece.SentencePieceProcessor(model_file=path)
         self.wrong: set[str] = set()
+        self.sizes = np.array([1 if t == BYTE else len(p.encode()) for p, t in zip(self.pieces, self.types, strict=True)])
         shown = {NORMAL, USER, UNUSED}
         self.table = [
             bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() if t in shown else " ⁇ ".encode() if t == UNKNOWN else b""
@@ -119,28 +123,44 @@ class Codec:
         text = self.normalizer.normalize_str(text) if self.normalizer else text
         return ((" " if self.prefix else "") + text).replace(" ", MARK) if text else ""
 
-    def _encode_units(self, new: list[str]) -> list[list[int]]:
-        ours = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        if self.theirs:
+    def _ids(self, new: list[str]) -> list[bytes]:
+        """Ids of units, encoded a few hundred side by side (nothing is merged across units) and told apart by their bytes."""
+        if self.fallback and not self.crosses:
+            few = [new[i : i + 256] for i in range(0, len(new), 256)]
+            got = self.tokenizer.encode_batch_fast(["".join(x) for x in few], add_special_tokens=False)
+            ids = [np.array(e.ids, np.int64) for e in got]
+            if not any((x == self.unk).any() for x in ids):
+                return [b for x, units in zip(ids, few, strict=True) for b in divided(x, self.sizes, units)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+
+    def _encode_units(self, new: list[str]) -> list[bytes]:
+        ours = self._ids(new)
+        if self.theirs and not (self.squeeze or self.charsmap):
             at = 1 if self.prefix else 0  # they put the first marker before it themselves
-            fit = [i for i, u in enumerate(new) if not at or u[:1] == MARK]
+            fit = [i for i, u in enumerate(new) if not at or u[:1] == MARK != u]
             for i, ids in zip(fit, self.theirs.encode([new[i][at:].replace(MARK, " ") for i in fit], num_threads=1), strict=True):
-                if ids != ours[i] and not (self.squeeze or self.charsmap):
+                if np.array(ids, "<u4").tobytes() != ours[i]:
                     self.wrong.add(new[i])
         return ours
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b, "<u4") for b in self.units.of(map(self.normalised, texts))]
+        return [np.frombuffer(b, "<u4") for b in self.units.of([self.find(self.normalised(t)) for t in texts])]
 
     def agrees(self, text: str) -> bool:
         """Whether no unit of the text was found to differ from the sentencepiece library."""
-        return not self.wrong or self.wrong.isdisjoint(self.units.find(self.normalised(text)))
+        return not self.wrong or self.wrong.isdisjoint(self.find(self.normalised(text)))
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+@functools.cache
+def codec(path: str, verify: bool) -> Codec:
+    """One to a worker, which keeps it from task to task."""
+    return Codec(path, verify)
+
+
 SCHEMA = "doc_id long, n_ids long, ids_crc32 long, n_unknown long, decoded_sha256 string, round_trip boolean, parity boolean"
 
 
@@ -148,11 +168,11 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) of every text."""
 
     def run(batches):
-        codec = Codec(path, verify=False)
+        coder = codec(path, False)
         for batch in batches:
             for a, b in slices(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
                 texts = [x or "" for x in batch.column(1).slice(a, b - a).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.astype(np.int32) for x in codec.encode(texts)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.astype(np.int32) for x in coder.encode(texts)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -161,9 +181,9 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) of (doc_id, ids)."""
 
     def run(batches):
-        codec = Codec(path, verify=False)
+        coder = codec(path, False)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coder.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
     return pick(rows, doc_id="long", ids="array<int>").mapInArrow(run, "doc_id long, text string")
 
@@ -174,15 +194,15 @@ def checked(docs: DataFrame, path: str) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
 
     def run(batches):
-        codec = Codec(path)
+        coder = codec(path, True)
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for a, b in slices(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
                 texts = [x or "" for x in batch.column(1).slice(a, b - a).to_pylist()]
                 rows = []
-                for key, text, ids in zip(keys[a:b], texts, codec.encode(texts), strict=True):
-                    back = codec.decode(ids.tolist())
-                    rows.append((key, len(ids), zlib.crc32(ids.tobytes()), int((ids == codec.unk).sum()), hashlib.sha256(back.encode()).hexdigest(), back == text, codec.agrees(text)))
+                for key, text, ids in zip(keys[a:b], texts, coder.encode(texts), strict=True):
+                    back = coder.decode(ids.tolist())
+                    rows.append((key, len(ids), zlib.crc32(ids.tobytes()), int((ids == coder.unk).sum()), hashlib.sha256(back.encode()).hexdigest(), back == text, coder.agrees(text)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return pick(docs, doc_id="long", text="string").mapInArrow(run, SCHEMA)
