@@ -52,7 +52,7 @@ def grams(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray, n
     mixed = np.zeros(len(code), np.uint32)
     for n in range(GRAMS):
         part = np.zeros(len(code), np.uint32)
-        part[: len(code) - n or None] = code[n:]
+        part[: max(0, len(code) - n)] = code[n:]
         mixed = (mixed ^ part) * _MIX[n]
         mixed ^= mixed >> np.uint32(15)
         out[:, n] = (mixed * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - bits)

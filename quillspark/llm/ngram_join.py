@@ -64,7 +64,7 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
     rolled = np.zeros(len(word), np.uint64)
     for k in range(words):
         part = np.zeros(len(word), np.uint64)
-        part[: len(word) - k or None] = word[k:]
+        part[: max(0, len(word) - k)] = word[k:]
         inside = np.arange(len(word)) + k < (first + count)[text]
         rolled = np.where(inside, (rolled ^ part) * np.uint64(0xC2B2AE3D27D4EB4F + 2 * k), rolled)
     position = np.arange(len(word)) - first[text]

@@ -125,7 +125,7 @@ class Codec:
 
     def _ids(self, new: list[str]) -> list[bytes]:
         """Ids of units, encoded a few hundred side by side (nothing is merged across units) and told apart by their bytes."""
-        if self.fallback and not self.crosses:
+        if self.fallback and not self.crosses and not any(u[-1] == MARK for u in new):
             few = [new[i : i + 256] for i in range(0, len(new), 256)]
             got = self.tokenizer.encode_batch_fast(["".join(x) for x in few], add_special_tokens=False)
             ids = [np.array(e.ids, np.int64) for e in got]
@@ -134,7 +134,11 @@ class Codec:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
 
     def _encode_units(self, new: list[str]) -> list[bytes]:
-        ours = self._ids(new)
+        open_ = [u for u in new if u[-1] == MARK]  # the next unit's markers would join these
+        known = dict(zip(open_, self._ids(open_), strict=True)) if open_ else {}
+        closed = [u for u in new if u not in known]
+        known.update(zip(closed, self._ids(closed), strict=True))
+        ours = [known[u] for u in new]
         if self.theirs and not (self.squeeze or self.charsmap):
             at = 1 if self.prefix else 0  # they put the first marker before it themselves
             fit = [i for i, u in enumerate(new) if not at or u[:1] == MARK != u]
