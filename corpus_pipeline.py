@@ -13,7 +13,7 @@ from quillspark.llm import language_id, line_dedup, ngram_join, packing, suffix_
 from quillspark.llm.common import written
 
 #: A text is rejected if it has no letter or its language's score is below this.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def _with_text(docs: DataFrame, done: DataFrame) -> DataFrame:
