@@ -23,6 +23,8 @@ from .common import pick, ship
 from .units import slices
 
 SAMPLE, BITS, GRAMS = 3000, 17, 3
+#: Bytes of text scored at a time (or one longer text).
+PART = 250_000
 #: Odd multipliers that mix the code points of a gram.
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _letters: np.ndarray | None = None
@@ -48,7 +50,7 @@ def grams(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray, n
     at = np.concatenate([[0], np.cumsum(keep)])
     starts, ends = at[first], at[first + sizes]
     code = code[keep]
-    out = np.empty((len(code), GRAMS), np.int64)
+    out = np.empty((len(code), GRAMS), np.int32)
     mixed = np.zeros(len(code), np.uint32)
     for n in range(GRAMS):
         part = np.zeros(len(code), np.uint32)
@@ -165,7 +167,7 @@ def predicted(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> Dat
     def run(batches):
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist()
-            for a, b in slices(sizes):
+            for a, b in slices(sizes, PART):
                 rows = batch.slice(a, b - a)
                 names, scores = shared.value.predict([x or "" for x in rows.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*rows.schema.names[1:], "lang_pred", "score"])
@@ -185,7 +187,7 @@ def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b in slices(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()):
+            for a, b in slices(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist(), PART):
                 rows = batch.slice(a, b - a)
                 names, scores = shared.value.predict([x or "" for x in rows.column(at).to_pylist()])
                 yield rows.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
