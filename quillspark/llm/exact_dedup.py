@@ -2,7 +2,8 @@
 
 A text, its white space normalised, is cut into blocks of a fixed number of code points. All blocks are range-partitioned and sorted, and
 the place of a block's first row in that order is its integer name: equal blocks get one name, different ones never share it. Then adjacent
-names are paired and the pairs named the same way, until each document has one name. No hash decides equality. A level halves the names,
+names are paired and the pairs named the same way, until each document has one name. The order is by a hash first and the block itself next, so that
+ranges are even and their sampled bounds small; no hash decides equality. A level halves the names,
 so the longest document (in blocks) sets the number of levels, by its logarithm.
 
 A block or pair held by very many rows is dealt over several salted pieces; each piece names its own first row, and the pieces' names (their
@@ -36,16 +37,16 @@ def _named(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
     salted = (
         keyed.join(F.broadcast(heavy), "h", "left")
         .withColumn("salt", F.when(F.col("salts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "sha", "pos"), F.col("salts")).cast("int")))
-        .drop("h", "salts")
+        .drop("salts")
     )
     ordered = (
-        salted.repartitionByRange(tasks, *keys, "salt")
-        .sortWithinPartitions(*keys, "salt")
+        salted.repartitionByRange(tasks, "h", "salt")
+        .sortWithinPartitions("h", "salt", *keys)
         .withColumn("place", F.monotonically_increasing_id())
     )
-    named = ordered.withColumn("name", F.min("place").over(Window.partitionBy(*keys, "salt")))
+    named = ordered.withColumn("name", F.min("place").over(Window.partitionBy("h", "salt", *keys)))
     lead = (F.col("salt") >= 0) & (F.col("place") == F.col("name"))
-    named = named.withColumn("lead", F.when(lead, F.struct(*keys))).drop(*keys, "salt", "place")
+    named = named.withColumn("lead", F.when(lead, F.struct(*keys))).drop(*keys, "h", "salt", "place")
     table = written(named, tag)
     forget(counted)
     leads = table.filter(F.col("lead").isNotNull()).select("lead", "name")
