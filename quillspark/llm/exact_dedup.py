@@ -93,6 +93,7 @@ def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     ids = identities(docs, block_chars).groupBy("doc_id", "sha", "level", "name").agg(F.sum("copies").alias("copies"))
     ids = written(ids, "exact-ids")
     groups = ids.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = written(groups, "exact-groups")  # else the join takes the aggregate's partitions as they are, and a large group's can't be split
     rows = ids.join(groups, ["level", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return rows.select(
         "doc_id", "keep_id", "group_size",
