@@ -15,6 +15,7 @@ from __future__ import annotations
 import bisect
 import functools
 import json
+import re
 import zlib
 
 import numpy as np
@@ -30,6 +31,11 @@ CAPACITY, END_ID = 1024, 2
 VOCABULARY = "byte_bpe_50k.json"
 #: The pattern by which byte-level BPE vocabularies cut texts. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: tiktoken's engine keeps a state for each character of white space and breaks at a run of a million; runs from this length on are cut out before it.
+LONG = 100_000
+#: What PATTERN means by white space (Unicode's White_Space; Python's own class has more).
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_RUN = re.compile(f"(?<!{_SPACE}){_SPACE}{{{LONG},}}")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -53,7 +59,7 @@ class Encoder:
         if ranks := self._ranks(path):
             import tiktoken
 
-            self.by_rank = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.by_rank = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     @staticmethod
     def _ranks(path: str) -> dict[bytes, int] | None:
@@ -68,10 +74,21 @@ class Encoder:
             return None
         return {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
 
+    def _by_rank(self, text: str):
+        """Ids of a text's parts. PATTERN makes one unit of a run of white space up to its last character, which goes with what follows (or with the
+        run, at the text's end); so a long run is encoded as the unit it is, and the texts about it give the ids they give in place."""
+        at = 0
+        for run in _RUN.finditer(text) if len(text) >= LONG else ():
+            end = run.end() - (run.end() < len(text))
+            yield self.by_rank.encode_ordinary(text[at : run.start()])
+            yield self.by_rank._encode_single_piece(text[run.start() : end])
+            at = end
+        yield self.by_rank.encode_ordinary(text[at:])
+
     def of(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if self.by_rank and not any(s in text for s in self.special):
-            return np.array(self.by_rank(text), "<u4").tobytes()
+            return b"".join(np.array(ids, "<u4").tobytes() for ids in self._by_rank(text))
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 

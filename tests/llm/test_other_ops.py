@@ -97,6 +97,21 @@ def test_packing(spark):
     assert packing.pack(frame.limit(0), VOCABULARY).count() == 0
 
 
+def test_packing_long_white_space(spark):
+    coder = packing.Encoder(VOCABULARY)
+    assert coder.by_rank
+    space = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    texts = [" " * 2_000_000, "a" + "\n" * 1_000_000 + "b", " \n" * 600_000 + "'s x" + "\r" * 1_100_000 + "\u3000", space * 70_000 + "é", "  a" + " " * 99_999 + "b \n" + " " * 100_000 + "1", "\x1c" * 120_000 + "  x"]
+    want = [np.array([*coder.tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4") for t in texts]
+    for text, ids in zip(texts, want, strict=True):
+        assert coder.of(text) == ids[:-1].tobytes()
+    rows = packing.pack(spark.createDataFrame([(0, texts[0]), (1, texts[1]), (2, "short")], DOCS), VOCABULARY).collect()
+    for i in range(2):
+        mine = sorted((r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == i)
+        assert sum(n for _, n, _ in mine) == len(want[i]) and all(c == zlib.crc32(want[i][a : a + n].tobytes()) for a, n, c in mine)
+    assert any(r.doc_id == 2 for r in rows)
+
+
 def test_sentencepiece(spark):
     import sentencepiece
 
