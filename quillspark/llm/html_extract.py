@@ -6,6 +6,10 @@ counts the votes per host (a partial aggregate, so a host with a third of all pa
 page is parsed again and its text taken from the host's highest-ranked path that fits it: one whose container here has at least `FIT` of the
 score of the page's own best; else from that best.
 
+The text isn't that of the container alone: it is taken from the outermost article or main about it. Where there is none, it is taken from the outermost
+container that has text of its own beside it, more outside links than in them (text in sections and quotations counts for what holds them), or
+that isn't the body and has an h1 beside it. Text beside it that stands only in other divs or cells is left out, as they may be teasers.
+
 Menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles are left out wherever they stand. Character
 references are decoded, white space within a block becomes one space, blocks follow each other in page order, joined by one space.
 
@@ -32,6 +36,7 @@ RANKED, FIT = 8, 0.3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
+ARTICLES, PARTS = frozenset(("article", "main")), frozenset(("section", "blockquote"))
 BLOCKS = CONTAINERS | frozenset(
     "html head p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr th caption pre figure figcaption nav header footer aside form fieldset details summary address hr dialog menu hgroup search legend option".split()
 )
@@ -54,11 +59,13 @@ SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "key", "parent", "out", "start", "end", "score", "path")
+    __slots__ = ("tag", "key", "parent", "out", "start", "end", "score", "path", "top", "own", "linked", "heads")
 
     def __init__(self, tag, key, parent, out, start):
         self.tag, self.key, self.parent, self.out, self.start, self.end, self.score = tag, key, parent, out, start, None, 0.0
         self.path = xxhash.xxh64_intdigest(key, parent.path if parent else 0)
+        self.top = parent and parent.top or (self if tag in ARTICLES and not out else None)
+        self.own = self.linked = self.heads = 0  # characters that stand in it and in no container within it: outside links, in links, in an h1
 
 
 def _unwanted(tag: str, attributes: dict[str, str]) -> bool:
@@ -128,11 +135,20 @@ class Page:
         text = html.unescape(raw) if "&" in raw else raw
         self.pieces.append(text)
         size = len(text.strip())
-        if size and not links:
+        if size:
+            head = False
+            while node.parent and node.tag not in CONTAINERS:
+                head |= node.tag == "h1"
+                node = node.parent
+            if links:
+                node.linked += size
+                return
+            node.own += size
+            node.heads += size * head
             weight = 1.0
             while node and weight >= 0.25:
                 if node.tag in CONTAINERS:
-                    node.score += size * weight * (1.25 if node.tag in ("article", "main") else 1.0)
+                    node.score += size * weight * (1.25 if node.tag in ARTICLES else 1.0)
                     weight /= 2
                 node = node.parent
 
@@ -165,6 +181,35 @@ class Page:
                 break
         return links
 
+    def _reach(self) -> dict[Node, Node]:
+        """The outermost container of each that has wanted text beside it."""
+        above = {}
+        for node in self.nodes:
+            outer = node.parent
+            while outer.parent and outer.tag not in CONTAINERS:
+                outer = outer.parent
+            above[node] = outer
+        own, linked, heads = ({n: getattr(n, k) for n in (self.root, *self.nodes)} for k in ("own", "linked", "heads"))
+        for node in reversed(self.nodes):  # what stands within comes after what holds it
+            outer = above[node]
+            heads[outer] += heads[node]
+            if node.tag in PARTS:
+                own[outer] += own[node]
+                linked[outer] += linked[node]
+        found = {self.root: self.root}
+        for node in self.nodes:
+            outer = above[node]
+            part = node.tag in PARTS
+            beside, links = own[outer] - part * own[node], linked[outer] - part * linked[node]
+            fits = beside > links or outer.parent and outer.tag != "body" and heads[outer] > heads[node]
+            found[node] = found[outer] if fits or found[outer] is not outer else node
+        return found
+
+    def whole(self, nodes: list[Node]) -> list[Node]:
+        """The containers that hold all of the texts of which these hold the most."""
+        reach = None if all(n.top for n in nodes) else self._reach()
+        return sorted({n.top or reach[n] for n in nodes}, key=lambda n: (n.start, -n.end))
+
     def text(self, nodes: list[Node]) -> str:
         out, upto = [], 0
         for node in nodes:
@@ -198,8 +243,8 @@ def main_text(source: str | None, ranked: list[str] | None = None) -> str:
         wanted = path_id(path)
         nodes = [n for n in page.nodes if n.path == wanted and not n.out and n.score > 0]
         if nodes and max(n.score for n in nodes) >= FIT * page.best.score:
-            return page.text(nodes)
-    return page.text([page.best])
+            return page.text(page.whole(nodes))
+    return page.text(page.whole([page.best]))
 
 
 def _with_host(pages: DataFrame) -> DataFrame:

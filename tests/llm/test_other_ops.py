@@ -43,6 +43,31 @@ def test_html_votes(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+LONG_TEXT = "words of the body " * 60
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<body><article><h1>T</h1><p>lead</p><div class="body"><p>{}</p></div></article><div class="teaser"><p>see</p></div></body>', "T lead {}"),
+        ('<main><h1>T</h1><article><div class="a"><div class="b"><p>{}</p></div></div><p>end</p></article></main>', "T {} end"),
+        ('<body><div class="post"><p>before</p><blockquote>{}</blockquote><p>after</p></div><div class="teaser">see</div></body>', "before {} after"),
+        ('<body><div class="post"><p>before</p><table><tr><td>{}</td></tr></table></div></body>', "before {}"),
+        ('<body><div class="post"><section class="a">{}</section><section class="b">more</section></div></body>', "{} more"),
+        ('<body><div class="post"><div class="title"><h1>T</h1></div><div class="wrap"><div class="body">{}</div></div></div></body>', "T {}"),
+        ('<p>lead</p><div class="body">{}</div>', "lead {}"),
+        ('<body><div class="page"><a href="/">Home</a> | <a href="/b">More</a><div class="body">{}</div><div class="teaser">see</div></div></body>', "{}"),
+        ('<body><article><p>lead</p><div class="share">Tweet</div><div class="body">{}</div><div id="comments">Nice</div></article></body>', "lead {}"),
+    ],
+)
+def test_html_whole(spark, page, want):
+    page, want = page.format(LONG_TEXT), " ".join(want.format(LONG_TEXT).split())
+    assert html_extract.main_text(page) == want
+    if "article" in page:
+        frame = spark.createDataFrame([(i, f"http://h.example/{i}", page) for i in range(3)], PAGES)
+        assert {r.text for r in html_extract.extract(frame).collect()} == {want}
+
+
 def test_plan_fills_sequences():
     for _ in range(30):
         capacity = random.choice([7, 16, 100])
