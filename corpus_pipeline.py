@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from quillspark.llm import language_id, line_dedup, ngram_join, packing, suffix_dedup
 from quillspark.llm.common import written
 
-#: A text is rejected if it has no letter or its language's score is below this.
-LEAST_SCORE = 0.3
+#: A text is rejected if it has no letter or its language's score isn't this share of the way from 1 / languages, the best score of a text that fits all
+#: languages equally, to 1. With the four languages of `documents` that is a score below 0.3.
+LEAST_SURE = 1 / 15
 
 
 def _with_text(docs: DataFrame, done: DataFrame) -> DataFrame:
@@ -23,7 +24,9 @@ def _with_text(docs: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.accepted(docs, language_id.fitted(docs), LEAST_SCORE)
+    model = language_id.fitted(docs)
+    even = 1 / max(1, len(model.languages))
+    return language_id.accepted(docs, model, even + LEAST_SURE * (1 - even))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

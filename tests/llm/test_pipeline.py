@@ -56,3 +56,16 @@ def test_pipeline(spark, tmp_path):
     run = sorted((r.doc_id, r.piece, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path / "sf")).collect())
     assert run == sorted((r.doc_id, r.piece, r.ids_crc32) for r in packed)
     assert zlib.crc32((2).to_bytes(4, "little")) in {r.ids_crc32 for r in packed} or "" not in texts.values()
+
+
+def test_rejects_unsure_texts(spark):
+    import random
+
+    random.seed(5)
+    words = {"en": "the and that with from this", "fr": "le la des avec pour dans"}
+    rows = [(i, " ".join(random.choice(words[lang].split()) for _ in range(40)), lang) for i in range(200) for lang in [("en", "fr")[i % 2]]]
+    rows += [(200, "漢字 漢字 漢字 漢字", None), (201, "12 34", None), (202, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == set(range(200))
+    one = docs.filter("lang = 'fr' OR doc_id > 199")
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, one, "").collect()} == {*range(1, 200, 2), 200}
