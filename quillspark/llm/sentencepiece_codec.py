@@ -3,7 +3,8 @@
 The model's protobuf is read field by field: pieces with scores and types, the normaliser's rules, the model's type. From these a tokenizer is
 rebuilt: the normaliser's character map, the metaspace marker, unigram scores (or, in a BPE model, merges in the order of the merged pieces'
 scores) and byte fallback. Where no piece has the marker behind another character, texts are cut ahead of markers, each different unit
-is encoded once per worker in multithreaded batches, and every such unit is held against the sentencepiece library (column `parity`).
+is encoded once per worker in multithreaded batches, and every such unit is held against the sentencepiece library (column `parity`); texts as a whole, if the
+model has a character map or squeezes white space.
 
 Null text counts as empty: no ids. A null doc_id is kept. Repeated rows are encoded each. An empty table gives no rows. Other columns are
 ignored. Text that spells a control piece (such as <s>) is ordinary text, as in sentencepiece.
@@ -150,8 +151,10 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(b, "<u4") for b in self.units.of([self.find(self.normalised(t)) for t in texts])]
 
-    def agrees(self, text: str) -> bool:
-        """Whether no unit of the text was found to differ from the sentencepiece library."""
+    def agrees(self, text: str, ids: np.ndarray) -> bool:
+        """Whether no unit of the text was found to differ from the sentencepiece library; where it normalises, texts are compared whole."""
+        if self.theirs and (self.squeeze or self.charsmap):
+            return self.theirs.encode(text) == ids.tolist()
         return not self.wrong or self.wrong.isdisjoint(self.find(self.normalised(text)))
 
     def decode(self, ids) -> str:
@@ -206,7 +209,7 @@ def checked(docs: DataFrame, path: str) -> DataFrame:
                 rows = []
                 for key, text, ids in zip(keys[a:b], texts, coder.encode(texts), strict=True):
                     back = coder.decode(ids.tolist())
-                    rows.append((key, len(ids), zlib.crc32(ids.tobytes()), int((ids == coder.unk).sum()), hashlib.sha256(back.encode()).hexdigest(), back == text, coder.agrees(text)))
+                    rows.append((key, len(ids), zlib.crc32(ids.tobytes()), int((ids == coder.unk).sum()), hashlib.sha256(back.encode()).hexdigest(), back == text, coder.agrees(text, ids)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return pick(docs, doc_id="long", text="string").mapInArrow(run, SCHEMA)

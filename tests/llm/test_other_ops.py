@@ -182,6 +182,23 @@ def test_sentencepiece_unigram(tmp_path):
         assert ours.encode([t])[0].tolist() == theirs.encode(t) and ours.decode(theirs.encode(t)) == theirs.decode(theirs.encode(t))
 
 
+def test_sentencepiece_parity_of_normalised(tmp_path):
+    """A model that squeezes white space: right ids agree, wrong ones don't."""
+    import struct
+
+    def field(n, kind, body):
+        return bytes([n << 3 | kind]) + (bytes([body]) if kind == 0 else bytes([len(body)]) + body if kind == 2 else body)
+
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("▁", -3.0, 1), ("▁the", -2.0, 1), ("a", -4.0, 1), ("b", -4.5, 1), ("ab", -5.0, 1), ("▁a", -4.2, 1)]
+    data = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, t)) for p, s, t in pieces)
+    data += field(2, 2, field(3, 0, 1)) + field(3, 2, field(1, 2, b"identity") + field(3, 0, 1) + field(4, 0, 1) + field(5, 0, 1))
+    path = tmp_path / "s.model"
+    path.write_bytes(data)
+    coder = sentencepiece_codec.Codec(str(path), True)
+    assert coder.squeeze and all(coder.agrees(t, coder.encode([t])[0]) for t in ("the  ab a", " abab ", ""))
+    assert not coder.agrees("the  ab", np.array([5, 5], "<u4"))
+
+
 def members(records):
     return b"".join(records)
 
