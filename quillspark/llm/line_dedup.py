@@ -63,7 +63,7 @@ def dropped_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def with_kept_text(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """All columns of `docs`, and n_lines, n_dropped and kept_text."""
+    """All columns of `docs` and, as the last three, n_lines, n_dropped and kept_text."""
     cols = docs.columns
     plain = docs.toDF(*(f"_{i}" for i in range(len(cols))))
     dk, text = F.col(f"_{cols.index('doc_id')}").cast("long"), F.col(f"_{cols.index('text')}").cast("string")
@@ -72,12 +72,13 @@ def with_kept_text(docs: DataFrame, least: int = LEAST) -> DataFrame:
     starts = F.concat(F.array(F.lit(0)), F.col("runs.end"))
     ends = F.concat(F.col("runs.start"), F.array(F.size("lines")))
     kept = F.flatten(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.slice(F.col("lines"), x["a"] + 1, x["b"] - x["a"])))
-    return joined.select(
-        *(F.col(f"_{i}").alias(c) for i, c in enumerate(cols)),
-        F.size("lines").cast("long").alias("n_lines"),
-        F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"),
-        F.when(F.col("runs").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+    out = joined.select(
+        *plain.columns,
+        F.size("lines").cast("long"),
+        F.coalesce("n_dropped", F.lit(0).cast("long")),
+        F.when(F.col("runs").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(kept, "\n")),
     )
+    return out.toDF(*cols, "n_lines", "n_dropped", "kept_text")
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -110,6 +110,62 @@ def test_suffixes(spark, most):
     assert rows_of(got) == windows_brute(texts, 40)
 
 
+def words_brute(texts, w):
+    """(doc_id, remaining bytes) with windows of w words, white space between words being all the same."""
+    found = [list(re.finditer(rb"[^\x20\x09-\x0d]+", (t or "").encode())) for t in texts]
+    seen = Counter(tuple(m[0] for m in f[i : i + w]) for f in found for i in range(len(f) - w + 1))
+    out = {}
+    for d, (t, f) in enumerate(zip(texts, found, strict=True)):
+        data = (t or "").encode()
+        gone = bytearray(len(data))
+        for i in range(len(f) - w + 1):
+            if seen[tuple(m[0] for m in f[i : i + w])] > 1:
+                gone[f[i].start() : f[i + w - 1].end()] = b"\1" * (f[i + w - 1].end() - f[i].start())
+        out[d] = bytes(b for b, x in zip(data, gone, strict=True) if not x)
+    return out
+
+
+@pytest.mark.parametrize("most", [32 << 20, 200])
+def test_suffixes_of_words(spark, most):
+    say = lambda n: [random.choice(["a", "bb", "ccc", "é", "dd."]) for _ in range(n)]
+    passages = [say(n) for n in (9, 10, 11, 30)]
+    texts = ["", None, " \n ", "a " * 9, "a " * 10, "b\t" * 40]
+    for _ in range(60):
+        t = say(random.randint(0, 40)) + random.choice(passages) + say(random.randint(0, 9))
+        texts.append("".join(w + random.choice([" ", "  ", "\n", " \t"]) for w in t))
+    texts += [texts[9], texts[9].replace(" ", "\n")]
+    frame = docs(spark, texts, clash=True)
+    got = {r[0]: r[1] for r in suffix_dedup.deduplicated(frame, kind=suffix_dedup.WORDS, window=10, gram=3, most_bytes=most).select("doc_id", "kept_sha256").collect()}
+    assert got == {i: sha(t) for i, t in words_brute(texts, 10).items()}
+
+
+@pytest.mark.parametrize("bits", [0, 1, 3, 64])
+def test_suffixes_do_not_rest_on_fingerprints(monkeypatch, bits):
+    """With fingerprints cut to a few bits, groups are divided by the bytes themselves."""
+    import numpy as np
+
+    true = suffix_dedup.prints
+    monkeypatch.setattr(suffix_dedup, "prints", lambda *a: true(*a) & np.uint64((1 << bits) - 1))
+    for _ in range(20):
+        spans = list({bytes(random.choice(b"ab") for _ in range(random.randint(8, 20))) for _ in range(12)})
+        rels, counts = np.array([random.randint(0, 2) for _ in spans]), np.array([random.choice([1, 1, 1, 2]) for _ in spans])
+        seen = Counter()
+        for s, r, n in zip(spans, rels, counts, strict=True):
+            for i in range(len(s) - 7):
+                seen[r + i, s[i : i + 8]] += n
+        want = sorted((k, i) for k, (s, r) in enumerate(zip(spans, rels, strict=True)) for i in range(len(s) - 7) if seen[r + i, s[i : i + 8]] > 1)
+        run, inner = suffix_dedup._divided(np.zeros(len(spans), np.int64), rels, counts, spans, 8, suffix_dedup.BYTES)
+        assert list(zip(run.tolist(), inner.tolist(), strict=True)) == want
+
+
+def test_suffixes_of_long_texts_and_many_copies(spark):
+    long = "".join(random.choice("abcdefgh ") for _ in range(3_000_000))
+    texts = [long, "x" + long[1_000_000:1_000_500] + "y", *["a copied text of some length " * 20] * 400]
+    rows = [*enumerate(texts), *[(5000, texts[-1])] * 300]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0] == (3_000_000, 500, 1) and got[1] == (502, 500, 1) and got[2] == got[5000] == (580, 580, 1)
+
+
 def test_suffixes_odd_rows(spark, monkeypatch):
     frame = spark.createDataFrame([(None, "x" * 500), (1, "ab" * 10), (1, "ab" * 10), (2, None)], SCHEMA)
     got = {(r.doc_id, r.n_removed, r.kept_text) for r in suffix_dedup.deduplicated(frame, window=20, gram=5).collect()}
