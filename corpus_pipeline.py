@@ -1,7 +1,18 @@
 """The corpus pipeline over `documents`: language ID, line dedup, n-gram Jaccard join, suffix-array dedup, best-fit packing.
 
 Every stage takes (spark, docs, sf_dir), works on all rows it gets and returns a DataFrame, which is written as Parquet and read again as the next one's
-docs. All but the last return the columns of documents; where a stage changes texts, n_chars follows.
+docs. All but the last return the columns of documents, in their order and with whatever names; where a stage changes texts, n_chars follows.
+
+| stage | null or empty text | repeated rows | null doc_id |
+| --- | --- | --- | --- |
+| language_id | rejected, as is text without a letter | each judged alike | stays |
+| line_dedup | one empty line: stays as '' | a doc_id's rows are one document | one document, after all others |
+| ngram_join | an empty set: stays, linked with nothing | one stays | represents a group only if the group has no other |
+| suffix_dedup | stays as '' | copies of each other: their windows go | stays |
+| packing | one piece, the end id alone | each packed | stays |
+
+Suffix dedup takes windows of 50 words here and not of 400 bytes: a passage of over 50 words is usually shorter than 400 bytes. White space between words
+doesn't matter then. An empty table passes through every stage as an empty table.
 """
 
 from __future__ import annotations
@@ -18,9 +29,11 @@ LEAST_SURE = 1 / 15
 
 
 def _with_text(docs: DataFrame, done: DataFrame) -> DataFrame:
-    """The columns of `docs` out of `done`, with kept_text as text."""
-    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
-    return done.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+    """The columns of `docs`, which are the first of `done`, with the last column of `done` as text. Columns are taken by place, so their names may clash."""
+    plain = done.toDF(*(f"_{i}" for i in range(len(done.columns))))
+    kept = F.col(plain.columns[-1])
+    new = {"text": kept, "n_chars": F.char_length(kept).cast("long")}
+    return plain.select(*(new.get(c, F.col(f"_{i}")).alias(f"_{i}") for i, c in enumerate(docs.columns))).toDF(*docs.columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +51,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_text(docs, suffix_dedup.deduplicated(docs))
+    return _with_text(docs, suffix_dedup.deduplicated(docs, kind=suffix_dedup.WORDS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
