@@ -2,16 +2,23 @@
 
 Each page is parsed once to score its containers: characters in paragraphs count for the container they stand in and half for the next one out,
 less what stands in links. A page votes for the path of its best container, tags with classes from the root down, digits generalised. Spark
-counts the votes per host (a partial aggregate, so a host with a third of all pages costs no task more) and ranks a host's paths. Then each
-page is parsed again and its text taken from the host's highest-ranked path that fits it: one whose container here has at least `FIT` of the
-score of the page's own best; else from that best.
+counts the votes per host (a partial aggregate, so a host with a third of all pages costs no task more) and ranks a host's paths, the first `RANKED`. Then
+each page is parsed again and its text taken from the host's highest-ranked path that fits it: one whose container here has at least `FIT` of the
+score of the page's own best; else from that best. Pages stay where they are if the table of paths is small, by its measured size, and is sent to them;
+beyond that they are joined with it by host, the pages and paths of hosts with many pages dealt over salts.
 
 The text isn't that of the container alone: it is taken from the outermost article or main about it. Where there is none, it is taken from the outermost
 container that has text of its own beside it, more outside links than in them (text in sections and quotations counts for what holds them), or
 that isn't the body and has an h1 beside it. Text beside it that stands only in other divs or cells is left out, as they may be teasers.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles are left out wherever they stand. Character
-references are decoded, white space within a block becomes one space, blocks follow each other in page order, joined by one space.
+Menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles are left out wherever they stand: by element, by role, by
+classes and ids. A class counts if its words are such a word and others that say nothing (`share-buttons`, but not `tags-intro`); what follows `with` or the
+like is no name (`layout-with-sidebar`); a few words (`SURE`) count beside any other. A form, or an element whose class isn't sure, stays if it holds over half of
+the page's text outside links and every article or main there is: a form about a whole page doesn't make its article a form. Character references are
+decoded (one of over 4000 digits is U+FFFD), white space within a block becomes one space, blocks follow each other in page order, joined by one space.
+
+Any bytes are parsed in time that grows with their number: the tag pattern gives nothing back once taken, a tag that isn't closed ends with the page (as in
+browsers), and where an element's end tag or fence stands in the stack is looked up, not searched.
 
 Null or empty html gives empty text. A null url is a host of its own (the empty one). Repeated rows are extracted each. An empty table gives no
 rows. Other columns are ignored.
@@ -19,6 +26,7 @@ rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 
@@ -27,10 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import hot, parts, pick, written
 
 #: Paths ranked per host; a page that fits none of them falls back on its own best container.
 RANKED, FIT = 8, 0.3
+#: Bytes of paths up to which their table is sent to all tasks.
+SENT = 16 << 20
 
 #: Names of HTML elements and of roles, and words that sites use in classes and ids of what isn't the article. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,10 +50,15 @@ ARTICLES, PARTS = frozenset(("article", "main")), frozenset(("section", "blockqu
 BLOCKS = CONTAINERS | frozenset(
     "html head p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr th caption pre figure figcaption nav header footer aside form fieldset details summary address hr dialog menu hgroup search legend option".split()
 )
-DROPPED = RAW | frozenset("head nav header footer aside form button select svg canvas object audio video dialog menu search fieldset label datalist".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidebars rail menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices disclaimer alert popup modal overlay comment comments disqus respond replies share sharing social subscribe newsletter signup login related recommended recommendations widget widgets pagination pager paging toolbar skip tags hidden".split()
+DROPPED = RAW | frozenset("head nav header footer aside button select svg canvas object audio video dialog menu search fieldset label datalist".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
+SURE = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr comments disqus respond replies newsletter subscribe breadcrumb breadcrumbs navbar navigation pagination".split())
+WORDS = SURE | frozenset(
+    "promo promotion banner sidebar sidebars rail menu nav footer header masthead notice notices disclaimer alert popup modal overlay comment share sharing social signup login related recommended recommendations widget widgets pager paging toolbar skip tags hidden".split()
+)
+#: Words that say nothing of what an element is, and words before which a name ends. Fixed values.
+PLAIN = frozenset(
+    "box list block area wrap wrapper container section bar panel inner outer top bottom left right site page global item items link links button buttons post posts content body text row col column group main primary secondary form icon icons count feed card cards unit slot zone region holder story stories article articles entry news blog".split()
 )
 STATES = frozenset("has with without no not is js".split())
 #: What ends an open <p>, and what an element of the same kind ends. Fixed values.
@@ -51,50 +66,83 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 FENCES = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|=|["'])*?)>|</[^>]*>""", re.S
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=|["'])*+)(?:>|\Z)|</[^>]*+(?:>|\Z)""", re.S
 )
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 DIGITS = re.compile(r"\d+")
 SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
+hash_of = xxhash.xxh64_intdigest
+HUGE = re.compile(r"&#[0-9]{4001,}+;?")
 
 
-class Node:
-    __slots__ = ("tag", "key", "parent", "out", "start", "end", "score", "path", "top", "own", "linked", "heads")
+def _decoded(text: str) -> str:
+    if "&" not in text:
+        return text
+    try:
+        return html.unescape(text)
+    except ValueError:  # more digits than Python takes for a number
+        return html.unescape(HUGE.sub("\ufffd", text))
 
-    def __init__(self, tag, key, parent, out, start):
-        self.tag, self.key, self.parent, self.out, self.start, self.end, self.score = tag, key, parent, out, start, None, 0.0
-        self.path = xxhash.xxh64_intdigest(key, parent.path if parent else 0)
-        self.top = parent and parent.top or (self if tag in ARTICLES and not out else None)
+
+class Node:
+    __slots__ = ("tag", "key", "parent", "hard", "soft", "out", "start", "end", "score", "path", "top", "box", "h1", "size", "articles", "own", "linked", "heads")
+
+    def __init__(self, tag, key, parent, start, hard=False, soft=False):
+        self.tag, self.key, self.parent, self.start, self.end, self.hard, self.soft, self.score = tag, key, parent, start, None, hard, soft, 0.0
+        self.path = hash_of(key, parent.path if parent else 0)
+        inside = parent is None or tag in CONTAINERS
+        self.box = self if inside else parent.box  # the innermost container
+        self.h1 = not inside and (parent.h1 or tag == "h1")
+        self.out, self.top = False, None
+        self.size = 0  # characters outside links, and of articles how many, in it and in all that stands in it
+        self.articles = int(tag in ARTICLES)
         self.own = self.linked = self.heads = 0  # characters that stand in it and in no container within it: outside links, in links, in an h1
 
 
-def _unwanted(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in DROPPED or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
+def _unwanted(tag: str, attributes: dict[str, str]) -> tuple[bool, bool]:
+    """(surely, perhaps)"""
+    role = attributes.get("role", "").lower()
+    if tag in DROPPED or role in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
+        return True, False
+    soft = tag == "form" or role == "form"
     if tag in ("html", "body", "article", "main"):
-        return False
+        return False, soft
     if "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
+        return True, False
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         words = [w.lower() for w in SPLIT.split(name) if w]
-        if words and words[0] not in STATES and not WORDS.isdisjoint(words):
-            return True
-    return False
+        words = words[: next((i for i, w in enumerate(words) if w in STATES), len(words))]
+        if not SURE.isdisjoint(words):
+            return True, False
+        soft = soft or not WORDS.isdisjoint(words) and all(w in WORDS or w in PLAIN or w.isdigit() for w in words)
+    return False, soft
 
 
 class Page:
-    """Containers with their scores, and the pieces of text in page order; a piece that isn't wanted, or a block's edge, is a space."""
+    """Containers with their scores, and the pieces of text in page order; a piece that isn't wanted is empty, a block's edge is a space."""
 
     def __init__(self, source: str):
         self.pieces: list[str] = []
         self.nodes: list[Node] = []
-        root = Node("", "", None, False, 0)
-        stack, at, links = [root], 0, 0
-        for found in TOKEN.finditer(source):
-            if found.start() < at:
-                continue
+        self.every = [Node("", "", None, 0)]
+        self.texts: list[tuple[int, Node, bool]] = []  # pieces that are text: where, in what, whether in a link
+        self.stack: list[Node] = []
+        self.spots: dict[str, list[int]] = {}  # where in the stack elements of a tag stand
+        self.blocks: list[int] = []
+        self._push(self.every[0])
+        self._read(source)
+        self._pop(0)
+        self.root = self.every[0]
+        self._settle()
+        self.best = max(self.nodes, key=lambda n: n.score, default=None)
+        if self.best and not self.best.score > 0:
+            self.best = None
+
+    def _read(self, source: str) -> None:
+        at = 0
+        while found := TOKEN.search(source, at):
             if found.start() > at:
-                self._text(source[at : found.start()], stack[-1], links)
+                self._text(source[at : found.start()])
             at = found.end()
             tag = found[2]
             if tag is None:
@@ -103,92 +151,91 @@ class Page:
             if tag in BLOCKS or tag == "br":
                 self.pieces.append(" ")
             if found[1]:
-                links -= self._close(stack, tag)
+                self._close(tag)
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>?", re.I).search(source, at)
                 at = end.end() if end else len(source)
                 continue
             if tag in VOID or found[3].endswith("/") and tag not in BLOCKS and tag not in ("a", "span", "b", "i"):
                 continue
             if tag in BLOCKS:
-                links -= self._imply(stack, tag)
-            attributes = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(found[3])} if found[3] and not found[3].isspace() else {}
-            classes = ".".join(sorted(DIGITS.sub("#", attributes.get("class", "")).split()))
-            node = Node(tag, f"{tag}.{classes}".replace(">", "") if classes else tag, stack[-1], stack[-1].out or _unwanted(tag, attributes), len(self.pieces))
-            links += tag == "a"
-            stack.append(node)
+                self._imply(tag)
+            key, hard, soft = tag, tag in DROPPED, tag == "form"
+            if found[3] and not found[3].isspace():
+                attributes = {k.lower(): _decoded(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(found[3])}
+                hard, soft = _unwanted(tag, attributes)
+                if classes := ".".join(sorted(DIGITS.sub("#", attributes.get("class", "")).split())):
+                    key = f"{tag}.{classes}".replace(">", "")
+            node = Node(tag, key, self.stack[-1], len(self.pieces), hard, soft)
+            self.every.append(node)
+            self._push(node)
             if tag in CONTAINERS:
                 self.nodes.append(node)
         if at < len(source):
-            self._text(source[at:], stack[-1], links)
-        for node in stack:
-            node.end = len(self.pieces)
-        self.root = root
-        self.best = max(self.nodes, key=lambda n: n.score, default=None)
-        if self.best and not self.best.score > 0:
-            self.best = None
+            self._text(source[at:])
+
+    def _text(self, raw: str) -> None:
+        self.texts.append((len(self.pieces), self.stack[-1], bool(self.spots.get("a"))))
+        self.pieces.append(_decoded(raw))
 
-    def _text(self, raw: str, node: Node, links: int) -> None:
-        if node.out:
-            return
-        text = html.unescape(raw) if "&" in raw else raw
-        self.pieces.append(text)
-        size = len(text.strip())
-        if size:
-            head = False
-            while node.parent and node.tag not in CONTAINERS:
-                head |= node.tag == "h1"
-                node = node.parent
-            if links:
-                node.linked += size
-                return
-            node.own += size
-            node.heads += size * head
-            weight = 1.0
-            while node and weight >= 0.25:
-                if node.tag in CONTAINERS:
-                    node.score += size * weight * (1.25 if node.tag in ARTICLES else 1.0)
-                    weight /= 2
-                node = node.parent
-
-    def _pop(self, stack: list[Node], i: int) -> int:
-        links = 0
-        for node in stack[i:]:
+    def _push(self, node: Node) -> None:
+        self.spots.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def _pop(self, i: int) -> None:
+        for node in self.stack[i:]:
             node.end = len(self.pieces)
-            links += node.tag == "a"
-        del stack[i:]
-        return links
-
-    def _close(self, stack: list[Node], tag: str) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
-                return self._pop(stack, i)
-            if stack[i].tag in BLOCKS and tag not in BLOCKS:
-                break
-        return 0
-
-    def _imply(self, stack: list[Node], tag: str) -> int:
+            self.spots[node.tag].pop()
+            if node.tag in BLOCKS:
+                self.blocks.pop()
+        del self.stack[i:]
+
+    def _close(self, tag: str) -> None:
+        """What an end tag ends: its element, unless that isn't open or a block stands open in an inline element."""
+        if (spots := self.spots.get(tag)) and (tag in BLOCKS or not self.blocks or self.blocks[-1] < spots[-1]):
+            self._pop(spots[-1])
+
+    def _imply(self, tag: str) -> None:
         """What a block element that opens ends by itself: an open paragraph, an earlier item of its kind."""
-        ended, fences = SIBLINGS.get(tag, ("p",)), FENCES.get(tag, ())
-        links = 0
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in ended or stack[i].tag == "p" and tag in SIBLINGS:
-                links += self._pop(stack, i)
-                if tag not in SIBLINGS:
-                    break
-            elif stack[i].tag in fences or not fences and stack[i].tag in BLOCKS:
-                break
-        return links
+        if tag in SIBLINGS:
+            fence = max((self.spots[f][-1] for f in FENCES[tag] if self.spots.get(f)), default=0)
+            inner = (p[bisect.bisect_right(p, fence) :] for p in (self.spots.get(t, ()) for t in (*SIBLINGS[tag], "p")) if p and p[-1] > fence)
+            self._pop(min((p[0] for p in inner), default=len(self.stack)))
+        elif self.blocks and self.stack[self.blocks[-1]].tag == "p":
+            self._pop(self.blocks[-1])
+
+    def _settle(self) -> None:
+        """Decides what is unwanted, empties its pieces and scores the containers with the rest."""
+        sizes = [len(self.pieces[i].strip()) for i, _, _ in self.texts]
+        for (_, node, linked), size in zip(self.texts, sizes, strict=True):
+            node.size += size * (not linked)
+        for node in reversed(self.every[1:]):
+            if not node.hard:
+                node.parent.size += node.size
+                node.parent.articles += node.articles
+        for node in self.every[1:]:
+            whole = 2 * node.size > self.root.size and node.articles == self.root.articles
+            node.out = node.parent.out or node.hard or node.soft and not whole
+            node.top = node.parent.top or (node if node.tag in ARTICLES and not node.out else None)
+        for (i, node, linked), size in zip(self.texts, sizes, strict=True):
+            if node.out:
+                self.pieces[i] = ""
+            elif linked:
+                node.box.linked += size
+            else:
+                box, weight = node.box, 1.0
+                box.own += size
+                box.heads += size * node.h1
+                while box.parent and weight >= 0.25:
+                    box.score += size * weight * (1.25 if box.tag in ARTICLES else 1.0)
+                    box, weight = box.parent.box, weight / 2
 
     def _reach(self) -> dict[Node, Node]:
         """The outermost container of each that has wanted text beside it."""
-        above = {}
-        for node in self.nodes:
-            outer = node.parent
-            while outer.parent and outer.tag not in CONTAINERS:
-                outer = outer.parent
-            above[node] = outer
+        above = {node: node.parent.box for node in self.nodes}
         own, linked, heads = ({n: getattr(n, k) for n in (self.root, *self.nodes)} for k in ("own", "linked", "heads"))
         for node in reversed(self.nodes):  # what stands within comes after what holds it
             outer = above[node]
@@ -281,15 +328,14 @@ def _gathered(run, rows: int = 1000):
     return joined
 
 
-def host_paths(pages: DataFrame, ranked: int = RANKED) -> DataFrame:
-    """(host, paths): a host's paths by votes, the most first."""
-    counted = votes(pages).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+def host_paths(counted: DataFrame, ranked: int = RANKED) -> DataFrame:
+    """(host, paths): a host's paths by votes, the most first; of (host, path, n, score)."""
     order = Window.partitionBy("host").orderBy(F.desc("n"), F.desc("score"), "path")
     top = counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= ranked)
     return top.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"))
 
 
-def extract(pages: DataFrame, ranked: int = RANKED) -> DataFrame:
+def extract(pages: DataFrame, ranked: int = RANKED, sent: int = SENT) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
 
     def run(batches):
@@ -298,7 +344,20 @@ def extract(pages: DataFrame, ranked: int = RANKED) -> DataFrame:
             texts = [main_text(s, p) for s, p in zip(sources, paths, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = _with_host(pages).join(host_paths(pages, ranked), "host", "left")
+    counted = written(votes(pages).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score")), "html-votes")
+    paths = written(host_paths(counted, ranked), "html-paths")
+    rows = _with_host(pages)
+    size = paths.agg(F.sum(F.length("host") + F.aggregate("paths", F.lit(0).cast("long"), lambda n, p: n + F.length(p)) + 100)).first()[0] or 0
+    if size <= sent:
+        joined = rows.join(F.broadcast(paths), "host", "left")
+    else:
+        spark = pages.sparkSession
+        each = counted.groupBy("host").agg(F.sum("n").alias("n"))
+        heavy = F.broadcast(written(hot(each, each.agg(F.sum("n")).first()[0], parts(spark)).select("host", "salts"), "html-heavy"))
+        salts = F.coalesce("salts", F.lit(1))
+        dealt = rows.join(heavy, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), salts).cast("int")).drop("salts")
+        spread = paths.join(heavy, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+        joined = dealt.join(spread.hint("shuffle_hash"), ["host", "salt"], "left")
     return joined.select("page_id", "url", "html", "paths").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

@@ -39,7 +39,8 @@ def test_html_votes(spark):
     frame = spark.createDataFrame(pages, PAGES).select("*", F.lit(0).alias("host"), F.lit(0).alias("HTML"))
     got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(frame).collect()}
     assert got[9] == ("short but it is the article", 27) and got[10] == ("", 0) and got[11] == ("x", 1) and len(got) == 12
-    assert html_extract.host_paths(frame).filter("host = 'h.example'").first().paths[0] == "body>div.box#"
+    counted = html_extract.votes(frame).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+    assert html_extract.host_paths(counted).filter("host = 'h.example'").first().paths[0] == "body>div.box#"
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
@@ -68,6 +69,85 @@ def test_html_whole(spark, page, want):
         assert {r.text for r in html_extract.extract(frame).collect()} == {want}
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<body><form id="aspnetForm"><article><h1>T</h1><p>{}</p><form><label>Name</label><input>Send it</form></article></form></body>', "T {}"),
+        ('<body><form id="f"><div class="main"><p>{}</p></div><div class="sidebar">Side</div></form></body>', "{}"),
+        ('<body><div class="main"><p>{}</p></div><form><p>Your name and a message to us</p></form></body>', "{}"),
+        ('<body><div class="layout-with-sidebar"><div class="post"><p>{}</p></div><div class="left-sidebar"><p>Side text</p></div></div></body>', "{}"),
+        ('<body><div class="widget-area"><div class="post"><p>{}</p></div><div class="widget-area"><p>Side text</p></div></div></body>', "{}"),
+        ('<article><p class="tags-intro">On tags.</p><p>{}</p><p class="table-widget">A table.</p><p class="tags">a, b</p><div class="share-buttons">Tweet</div><div class="ad-slot-7-special">Buy</div></article>', "On tags. {} A table."),
+        ('<article><p>short</p></article><div class="sidebar"><p>{}</p></div><div class="user-comments"><p>{}</p></div>', "short"),
+    ],
+)
+def test_html_weighs_names(page, want):
+    assert html_extract.main_text(page.replace("{}", LONG_TEXT)) == " ".join(want.replace("{}", LONG_TEXT).split())
+
+
+def test_html_in_linear_time():
+    """Broken markup of a size, and of four times that size: no more than some eight times the time."""
+    import time
+
+    made = {
+        "a": lambda n: "<a " * n, "quotes": lambda n: "<a " + '="' * n, "closed quotes": lambda n: "<a " + '="' * n + ">x", "spans": lambda n: "<span>x" * n,
+        "unclosed": lambda n: "<b>" * n + "</i>" * n, "crossing": lambda n: "<i><div>" + "<b>" * n + "</i>" * n, "items": lambda n: "<div>" * n + "<li>x" * n,
+        "odd quote": lambda n: "<a y " * n + '=">"', "comments": lambda n: "<!-- " * n, "less": lambda n: "<" * n, "slash": lambda n: "</" * n, "space": lambda n: "<a x" + (" " * 99 + "y") * n,
+        "tables": lambda n: "<table><tr><td>" * n + "x", "raw": lambda n: "<title>x" * n, "number": lambda n: "&#" + "9" * n + ";", "references": lambda n: "&" * n,
+    }
+
+    def took(source):
+        start = time.perf_counter()
+        html_extract.main_text(source)
+        return time.perf_counter() - start
+
+    for name, make in made.items():
+        few, many = min(took(make(5000)) for _ in range(3)), min(took(make(20000)) for _ in range(2))
+        assert many < 8 * few + 0.2, name
+    assert took("<a " + '="' * 32) < 0.1
+    assert html_extract.main_text("<p>&#" + "9" * 6000 + ";") == "\ufffd"
+
+
+def _built(rng):
+    """A page of known parts, in correct markup, and the text of its article."""
+    say = lambda n: " ".join(rng.choice(["word", "été", "x&y", "a<b", "漢字", "end."]) for _ in range(n))
+    esc = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace("é", rng.choice(["é", "&eacute;", "&#233;", "&#xE9;"])).replace(" ", rng.choice([" ", "\n ", "&nbsp;"]))
+    blocks, want = [], []
+    for _ in range(rng.randint(1, 6)):
+        t, u = say(rng.randint(8, 30)), say(3)
+        kind = rng.randint(0, 4)
+        if kind == 0:
+            blocks.append(f"<p>{esc(t)}</p>")
+        elif kind == 1:
+            blocks.append(f"<p>{esc(t)} <b>{esc(u)}</b><i>!</i><br/>{esc(u)}")
+            t = f"{t} {u}! {u}"
+        elif kind == 2:
+            blocks.append(f"<ul><li>{esc(t)}<li>{esc(u)}</ul>")
+            t = f"{t} {u}"
+        elif kind == 3:
+            blocks.append(f"<h2 class='t{rng.randint(0, 9)}'>{esc(u)}</h2><blockquote>{esc(t)}</blockquote>")
+            t = f"{u} {t}"
+        else:
+            blocks.append(f"<table><tr><td>{esc(t)}<td>{esc(u)}</table>")
+            t = f"{t} {u}"
+        want.append(t)
+        blocks.append(rng.choice(["", f"<!-- {say(3)} -->", f"<div class='share-buttons'>{esc(say(2))}</div>", f"<aside>{esc(say(9))}</aside>", f"<script>if (a<b) '<p>{say(2)}</p>'</script>", f"<form><p>{esc(say(5))}</p></form>"]))
+    other = [f"<nav><a href='/a'>{esc(say(2))}</a></nav>", f"<header>{esc(say(4))}</header>", f"<div class='ad'>{esc(say(20))}</div>", f"<section id='comments'><p>{esc(say(40))}</p></section>", f"<div role=\"navigation\">{esc(say(3))}</div>", f"<footer>&copy; {esc(say(4))}</footer>"]
+    rng.shuffle(other)
+    cut = rng.randint(0, len(other))
+    return f"<!DOCTYPE html><html><head><title>{esc(say(3))}</title></head><body>{''.join(other[:cut])}<article>{''.join(blocks)}</article>{''.join(other[cut:])}</body></html>", " ".join(want)
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_html_of_built_pages(spark, sent):
+    """Pages whose article is known by construction; a host with most of the pages, paths sent to the pages or joined by salted hosts."""
+    rng = random.Random(5)
+    built = [_built(rng) for _ in range(400)]
+    rows = [(i, f"http://{'hot' if i % 4 else i}.example/{i}", page) for i, (page, _) in enumerate(built)]
+    got = html_extract.extract(spark.createDataFrame(rows, PAGES), sent=sent).collect()
+    assert sorted((r.page_id, r.text, r.n_chars) for r in got) == [(i, t, len(t)) for i, (_, t) in enumerate(built)]
+
+
 def test_plan_fills_sequences():
     for _ in range(30):
         capacity = random.choice([7, 16, 100])
