@@ -48,9 +48,13 @@ def parts(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: spark.checkpoint.dir, or (unset, as in tests) a folder of our own."""
+    """The folder all executors and the driver see: spark.checkpoint.dir. Where it is unset, a folder of our own if driver and executors are one process
+    (as in tests); on a cluster, where such a folder would be seen by the driver alone, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -99,3 +103,13 @@ def hot(counted: DataFrame, total: int, tasks: int, least: int = 64) -> DataFram
     them is bounded."""
     share = max(least, -(-total // (4 * tasks)))
     return counted.filter(F.col("n") > share).withColumn("salts", F.ceil(F.col("n") / F.lit(share)).cast("int"))
+
+
+def spread_join(rows: DataFrame, found: DataFrame, key: str, heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """`rows` joined with `found`, which has one row to a key. The rows of the keys in `heavy`, as hot() gives them, are dealt over their salts and
+    found's row of such a key goes to each, so that no task gets more of a key than a share."""
+    heavy = F.broadcast(heavy.select(key, "salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = rows.join(heavy, key, "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")).drop("salts")
+    copied = found.join(heavy, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(copied, [key, "salt"], how).drop("salt")

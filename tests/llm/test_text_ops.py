@@ -210,6 +210,58 @@ def test_join(spark, block):
     assert rows_of(ngram_join.component_ids(docs(spark, texts, clash=True), block=block)) == join_brute(texts)
 
 
+@pytest.mark.parametrize("size", [256, 1024, 2048, 4096])
+def test_join_of_words_that_cancel(spark, size):
+    """The Thue-Morse word and its complement, which sums of powers of an odd number modulo a power of two can't tell apart."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(size))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [f"one two {word} three four", f"one two {other} three four", f"one two {word}  three FOUR", word, other]
+    assert rows_of(ngram_join.component_ids(docs(spark, texts))) == join_brute(texts)
+    rows = suffix_dedup.deduplicated(docs(spark, [word, other]), window=size, gram=64).select("doc_id", "n_removed").collect()
+    assert {r.n_removed for r in rows} == {0}
+
+
+def test_join_numbers_are_exact():
+    for _ in range(50):
+        texts = [" ".join(random.choice("abc") for _ in range(random.randint(0, 12))).encode() for _ in range(8)]
+        sets = ngram_join.exact_sets(texts)
+        true = [word_set(t.decode()) for t in texts]
+        for a, s in zip(sets, true, strict=True):
+            assert len(a) == len(s)
+            for b, u in zip(sets, true, strict=True):
+                assert len(set(a.tolist()) & set(b.tolist())) == len(s & u)
+
+
+def test_join_of_a_crowd(spark):
+    """Near copies in far more than a block's rows, chains of links, and pieces that never meet, in one family each."""
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [random.choice(vocabulary) for _ in range(60)]
+    texts = []
+    for i in range(150):  # a crowd
+        t = list(base)
+        t[random.randrange(60)] = f"x{i}"
+        texts.append(" ".join(t))
+    chain = [random.choice(vocabulary) for _ in range(40)]
+    for i in range(60):  # neighbours are linked, distant ones aren't
+        chain[(7 * i) % 40] = f"c{i}"
+        texts.append(" ".join(chain))
+    halves = [[random.choice(vocabulary) for _ in range(20)] for _ in range(8)]
+    for i in range(64):  # sets made of the same parts
+        texts.append(" ".join(halves[i % 8] + halves[i // 8] + [f"h{i % 5}"]))
+    random.shuffle(texts)
+    assert rows_of(ngram_join.component_ids(docs(spark, texts), block=7)) == join_brute(texts)
+
+
+def test_components(spark):
+    """A star, whose middle is met by salted joins, and a path."""
+    from quillspark.llm.components import components
+
+    edges = [(5, i) for i in range(1000, 3000)] + [(i, i + 1) for i in range(100, 140)] + [(7, 7), (3000, 4000)]
+    random.shuffle(edges)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {5: 5, **dict.fromkeys(range(1000, 3000), 5), **dict.fromkeys(range(100, 141), 100), 3000: 3000, 4000: 3000}
+
+
 def test_representatives(spark):
     texts = near_texts(40)
     frame = docs(spark, texts, clash=True)
