@@ -339,7 +339,7 @@ def test_language(spark):
 
 
 def top_brute(rows, k, every):
-    valid = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    valid = {i: [int(np.nan_to_num(np.floor(64 * np.float64(x)))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     out = []
     for q in valid:
         if q % every == 0:
@@ -348,12 +348,31 @@ def top_brute(rows, k, every):
     return sorted(out)
 
 
+def test_top_k_threshold_saves_entries():
+    """Every entry at or over the cutoff is collected, and few others are."""
+    rng = np.random.default_rng(3)
+    q, c = (np.floor(64 * x / np.linalg.norm(x, axis=1, keepdims=True)) for x in (rng.normal(size=(50, 64)), rng.normal(size=(4000, 64))))
+    lists = top_k._partials(top_k._narrow(q), top_k._narrow(c), 2)
+    assert lists[0].dtype == np.float32
+    total = (q @ c.T).astype(np.int64)
+    assert ((lists[0] + lists[1]).astype(np.int64) == total).all()
+    for best, most in ((20, 0.15), (4000, 1.0)):
+        cut = np.sort(total, axis=1)[:, -best]
+        at = np.zeros(total.shape, bool)
+        at[top_k.sufficient(lists, cut)] = True
+        assert at[total >= cut[:, None]].all() and at.mean() <= most
+    low = np.full(50, -(2**63))
+    assert len(top_k.sufficient(lists, low)[0]) == total.size
+    huge = [np.array([[2**70, -(2**70)]], dtype=object), np.array([[0, 5]], dtype=object)]
+    assert top_k.sufficient(huge, np.array([2**62]))[1].tolist() == [0]
+
+
 @pytest.mark.parametrize("block", [2048, 13])
 def test_top_k(spark, monkeypatch, block):
     monkeypatch.setattr(top_k, "BLOCK", block)
     monkeypatch.setattr(top_k, "QUERIES", block)
     rows = [(i, [random.choice([-1.0, 0.0, 0.5, random.gauss(0, 1)]) for _ in range(6)]) for i in range(120)]
-    rows += [(i, [1.0] * 6) for i in range(120, 160)] + [(200, None), (None, [1.0] * 6), (220, [1.0, None]), (240, [float("nan")]), (260, [float("inf"), 1.0]), (280, []), (300, [3.0]), (320, [1e10, -1e10]), (321, [1e9, 1e9])]
+    rows += [(i, [1.0] * 6) for i in range(120, 160)] + [(200, None), (None, [1.0] * 6), (220, [1.0, None]), (240, [float("nan")]), (260, [float("inf"), 1.0]), (280, []), (300, [3.0]), (320, [1e10, -1e10]), (321, [1e9, 1e9]), (340, [1e308] * 3), (341, [-1e308, 1.0, 0.5]), (360, [70000.0, 0.5, 1.0, 2.0]), (361, [1.0, 2.0, 3.0, 4.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", F.lit(0).alias("dim"), F.lit(0).alias("rank"))
     got = sorted(tuple(r) for r in top_k.search(frame, F.col("vec_id") % 20 == 0, k=5).collect())
     top = 2**63 - 1
