@@ -28,7 +28,8 @@ component has no other. Repeated rows are copies. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from itertools import chain
+import itertools
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -63,24 +64,22 @@ def _words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.
     """(different words, each place's word, each text's first place, its number of places)"""
     cut = [t.translate(_LOWER).split() for t in texts]
     count = np.fromiter(map(len, cut), np.int64, len(cut))
-    flat = list(chain.from_iterable(cut))
-    words = list(dict.fromkeys(flat))
-    number = dict(zip(words, range(len(words)), strict=True))
-    return words, np.fromiter(map(number.__getitem__, flat), np.int64, len(flat)), np.cumsum(count) - count, count
+    flat = list(itertools.chain.from_iterable(cut))
+    number: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+    return list(number), at, np.cumsum(count) - count, count
 
 
 def _named(words: list[bytes]) -> np.ndarray:
     """Two 64-bit names of each word."""
     if len(_names) > KEPT:
         _names.clear()
-    out = []
-    for w in words:
-        name = _names.get(w)
-        if name is None:
-            name = hashlib.blake2b(w, digest_size=16).digest()
+    out = list(map(_names.get, words))
+    for i, w in enumerate(words):
+        if out[i] is None:
+            out[i] = hashlib.blake2b(w, digest_size=16).digest()
             if len(w) <= KEPT_BYTES:
-                _names[w] = name
-        out.append(name)
+                _names[w] = out[i]
     return np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
 
 
@@ -95,15 +94,19 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
     text = text[real]
     rolled = []
     for half in _named(different).T:
-        name, mixed = half[at], np.zeros(len(real), np.uint64)
-        for k in range(words):
-            inside = real + k < (first + count)[text] if k else np.ones(len(real), bool)
-            if not inside.all():
-                mixed[inside] = (mixed[inside] ^ name[real[inside] + k]) * np.uint64(0xC2B2AE3D27D4EB4F + 2 * k)
-            else:
-                mixed = (mixed ^ name[real + k]) * np.uint64(0xC2B2AE3D27D4EB4F + 2 * k)
+        name = half[at]
+        mixed = np.zeros(len(at), np.uint64)
+        for k in range(words):  # of the words from each place on; a text's end is seen to below
+            mixed[: max(0, len(at) - k)] ^= name[k:]
+            mixed *= np.uint64(0xC2B2AE3D27D4EB4F + 2 * k)
             mixed ^= mixed >> np.uint64(32)
-        rolled.append(_mix(mixed))
+        for i in first[(count > 0) & (count < words)].tolist():  # texts of few words
+            end, one = i + int(count[np.searchsorted(first, i, side="right") - 1]), 0
+            for k, w in enumerate(name[i:end].tolist()):
+                one = (one ^ w) * (0xC2B2AE3D27D4EB4F + 2 * k) & 0xFFFFFFFFFFFFFFFF
+                one ^= one >> 32
+            mixed[i] = one
+        rolled.append(_mix(mixed[real]))
     order = np.lexsort((rolled[0], text))
     one, other, text = rolled[0][order], rolled[1][order], text[order]
     new = np.concatenate([[True], (one[1:] != one[:-1]) | (other[1:] != other[:-1]) | (text[1:] != text[:-1])])
@@ -152,7 +155,7 @@ SETS = "doc_id long, dk long, th long, n long, c1 long, c2 long, low array<long>
 
 def _sets(batches, words: int, long: int):
     for batch in batches:
-        for x, y in slices(pc.fill_null(pc.binary_length(batch.column(3)), 0).to_pylist(), 1_000_000):
+        for x, y in slices(pc.fill_null(pc.binary_length(batch.column(3)), 0).to_pylist(), 3_000_000):
             part = batch.slice(x, y - x)
             found, other, n = shingles([t or b"" for t in part.column(3).to_pylist()], words)
             ends = np.cumsum(n)
@@ -302,17 +305,22 @@ def _candidates(rows: DataFrame, percent: int, short: int, long: int) -> tuple[D
     return kept.drop("low"), written(family.select("node", F.col("root").alias("family")), "join-families")
 
 
-def _blocked(rows: DataFrame, block: int, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """`rows` (node, family, n, ...) with band and salt, and the blocks (family, band, salt). A family that fits is one block, of band 0."""
+def _blocked(rows: DataFrame, block: int, percent: int, heavy: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """`rows` (node, family, n, ...) with band and salt, and the blocks (family, band, salt). A family that fits is one block, of band 0. `heavy` has the
+    families of many rows."""
+    tasks = parts(rows.sparkSession)
+    sizes = written(rows.groupBy("family").agg(F.count("*").alias("many"), F.sum("n").alias("total")), f"{name}-sizes")
+    total = sizes.agg(F.sum("many")).first()[0] or 0
     fits = (F.col("many") <= block) & (F.col("total") <= BLOCK_SHINGLES)
-    sizes = rows.groupBy("family").agg(F.count("*").alias("many"), F.sum("n").alias("total"))
     wide = float(np.log(100 / percent))
-    banded = rows.join(sizes.select("family", fits.alias("fits")), "family").withColumn("band", F.when(F.col("fits"), F.lit(0)).otherwise(F.floor(F.log(F.col("n").cast("double")) / wide)).cast("int")).drop("fits")
-    bands = banded.groupBy("family", "band").agg(F.count("*").alias("many"), F.sum("n").alias("total"))
+    in_band = F.when(F.col("fits"), F.lit(0)).otherwise(F.floor(F.log(F.col("n").cast("double")) / wide)).cast("int")
+    banded = spread_join(rows, sizes.select("family", fits.alias("fits")), "family", heavy)
+    banded = banded.withColumn("key", F.struct("family", in_band.alias("band"))).drop("fits")
+    bands = written(banded.groupBy("key").agg(F.count("*").alias("many"), F.sum("n").alias("total")), f"{name}-bands")
     salts = F.greatest(F.ceil(F.col("many") / block), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    bands = written(bands.select("family", "band", salts.alias("salts")), name)
-    located = banded.join(bands, ["family", "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).drop("salts")
-    return located, bands.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    located = spread_join(banded, bands.select("key", salts.alias("dealt")), "key", hot(bands.withColumn("n", F.col("many")), total, tasks))
+    located = located.select("*", "key.band", F.pmod(F.xxhash64("node"), F.col("dealt")).cast("int").alias("place")).drop("key", "dealt").withColumnRenamed("place", "salt")
+    return located, bands.select("key.family", "key.band", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
 
 
 def _compared(sent: DataFrame, words: int, percent: int, name: str) -> DataFrame:
@@ -343,27 +351,29 @@ def links(docs: DataFrame, rows: DataFrame, words: int = WORDS, percent: int = P
         base = base.groupBy("dk", "th").agg(F.first("bytes").alias("bytes"))
     whole = base.join(members, ["dk", "th"]).select("node", "family", "n", "bytes")
     whole = written(whole.withColumn("label", F.col("node")), "join-texts")
-    located, blocks = _blocked(whole, block, percent, "join-blocks")
+    sizes = whole.groupBy("family").agg(F.count("*").alias("n"))
+    heavy = written(hot(sizes, whole.count(), parts(docs.sparkSession)), "join-heavy")
+    located, blocks = _blocked(whole, block, percent, heavy, "join-blocks")
     first = _compared(located.select("*", F.xxhash64("family", "band", "salt").alias("task"), F.lit(0).alias("side")), words, percent, "join-first")
     large = written(blocks.groupBy("family").agg(F.count("*").alias("many")).filter("many > 1").select("family"), "join-large")
     if large.isEmpty():
         return first, kept
 
     # one row of each block's component meets those of the family's other blocks
-    some = located.join(large, "family", "left_semi").join(first.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
+    some = spread_join(located, large, "family", heavy).join(first.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
     some = some.withColumn("label", F.coalesce("root", "node")).drop("root")
-    leads, lead_blocks = _blocked(some.filter("node = label").drop("band", "salt"), block, percent, "join-lead-blocks")
+    leads, lead_blocks = _blocked(some.filter("node = label").drop("band", "salt"), block, percent, heavy, "join-lead-blocks")
     second = _compared(_met(leads, lead_blocks, leads, lead_blocks, True), words, percent, "join-second")
     tied = components(second).select(F.col("node").alias("label"), F.col("root").alias("piece"))
     pieces = written(some.drop("bytes").join(tied, "label", "left").select("node", "family", "n", "band", "salt", F.coalesce("piece", "label").alias("label")), "join-pieces")
     # what lies outside a family's largest piece meets all of it
     sizes = pieces.groupBy("family", "label").agg(F.count("*").alias("many"))
     major = sizes.groupBy("family").agg(F.max(F.struct("many", "label")).alias("top"), F.count("*").alias("pieces")).filter("pieces > 1").select("family", F.col("top.label").alias("major"))
-    divided = written(pieces.join(major, "family"), "join-divided")
+    divided = written(spread_join(pieces, major, "family", heavy), "join-divided")
     if divided.isEmpty():
         return first.unionAll(second), kept
     texts = whole.select("node", "bytes")
-    outside, outer_blocks = _blocked(divided.filter("label <> major").select("node", "family", "n", "label"), block, percent, "join-outer-blocks")
+    outside, outer_blocks = _blocked(divided.filter("label <> major").select("node", "family", "n", "label"), block, percent, heavy, "join-outer-blocks")
     # a family that fits is one block of band 0, which meets blocks of any band
     outer_blocks = outer_blocks.withColumn("alone", F.count("*").over(Window.partitionBy("family")) == 1)
     other = outer_blocks.select("family", F.col("band").alias("band2"), F.col("salt").alias("salt2"), "alone")
