@@ -108,8 +108,8 @@ def hot(counted: DataFrame, total: int, tasks: int, least: int = 64) -> DataFram
 def spread_join(rows: DataFrame, found: DataFrame, key: str, heavy: DataFrame, how: str = "inner") -> DataFrame:
     """`rows` joined with `found`, which has one row to a key. The rows of the keys in `heavy`, as hot() gives them, are dealt over their salts and
     found's row of such a key goes to each, so that no task gets more of a key than a share."""
-    heavy = F.broadcast(heavy.select(key, "salts"))
-    salts = F.coalesce("salts", F.lit(1))
-    dealt = rows.join(heavy, key, "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")).drop("salts")
-    copied = found.join(heavy, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    return dealt.join(copied, [key, "salt"], how).drop("salt")
+    heavy = F.broadcast(heavy.select(key, F.col("salts").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = rows.join(heavy, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")).drop("_salts")
+    copied = found.join(heavy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(copied, [key, "_salt"], how).drop("_salt")
