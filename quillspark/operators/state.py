@@ -5,14 +5,45 @@ A log row is (seq, op, lang, theme, item_id, payload); seq orders all changes. T
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import int_or_null
+from ..functions.schemas import LOG
+from ..functions.text import clamped, int_or_null
 
 POSITION, STAR, NOTE, LAST, ACK = "position", "star_toggle", "note", "last_lang", "ack"
 
 
+def changes(rows: DataFrame, op: str, lang=None, theme=None, item_id=None, payload=None) -> DataFrame:
+    """Log rows of one kind from `rows`, which have `seq`; the other arguments are Columns or null."""
+    given = {"lang": lang, "theme": theme, "item_id": item_id, "payload": payload}
+    cells = {k: F.lit(None) if c is None else c for k, c in given.items()}
+    return rows.select("seq", F.lit(op).alias("op"), *(cells[f.name].cast(f.dataType).alias(f.name) for f in LOG.fields[2:]))
+
+
+def append(log: DataFrame, path: str) -> None:
+    """Adds rows to the log, a Parquet table that the batch and the streamed folds read. What holds is decided by the fold: the last write wins, a toggle
+    turns over; so no row is ever changed."""
+    log.select(*LOG.fieldNames()).write.mode("append").parquet(path)
+
+
+def save_positions(rows: DataFrame, visible: Column | None = None) -> DataFrame:
+    """Opening a theme or stepping in it: (seq, lang, theme, wanted, n) to position rows, the wanted place clamped to the theme's `n` phrases, or to those
+    visible under a query. It is kept against the theme either way."""
+    place = clamped(F.col("wanted"), F.coalesce(F.col("n") if visible is None else visible, F.lit(0)))
+    return changes(rows, POSITION, F.col("lang"), F.col("theme"), payload=place.cast("string"))
+
+
+def save_opened(opened: DataFrame, status: DataFrame) -> DataFrame:
+    """(seq, lang) to last_lang rows, only of languages whose phrases were loaded: `status` is (lang, status)."""
+    loaded = status.filter(F.col("status") == "ok").select("lang")
+    return changes(opened.join(loaded, "lang", "left_semi"), LAST, payload=F.col("lang"))
+
+
+def save_acks(rows: DataFrame) -> DataFrame:
+    return changes(rows, ACK, F.col("lang"), payload=F.lit("1"))
+
+
 def latest(log: DataFrame, op: str, *keys: str) -> DataFrame:
     """(keys, payload, seq) of the last change: the last write wins."""
     rows = log.filter(F.col("op") == op)

@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..functions.themes import THEMES
 from ..operators import lint, phrases, state
 from ..operators.ranking import numbered
+from . import content
 from . import driver_tables as d
 from .driver_tables import CAT_SQL, EV_SQL, P_SQL, POS_SQL, STAR_SQL
 
@@ -211,7 +212,7 @@ def numbers_tail(spark, sf):
     return phrases.numbers_tail(d.numbers(spark, sf), LATER)
 
 
-@query(f"""WITH {CAT_SQL}, {EV_SQL}, l AS (SELECT max_by(lang, seq) AS last_lang FROM ev WHERE event_type = 'view')
+@query(f"""WITH {CAT_SQL}, {EV_SQL}, l AS (SELECT max_by(lang, seq) AS last_lang FROM ev WHERE event_type = 'view' AND lang IN (SELECT lang FROM documents))
   SELECT last_lang AS code, coalesce(name, upper(last_lang)) AS title FROM l LEFT JOIN cat ON code = last_lang""")
 def continue_name(spark, sf):
     return phrases.titles(state.last_lang(d.last_lang_log(spark, sf)).select(F.col("last_lang").alias("code")), d.catalog(spark))
@@ -320,8 +321,8 @@ def row_numbers(spark, sf):
 
 
 def queries() -> dict:
-    return {name: f for name, (f, _) in _all.items()}
+    return {name: f for name, (f, _) in _all.items()} | content.queries()
 
 
 def oracle_sql() -> dict:
-    return {name: sql for name, (_, sql) in _all.items()}
+    return {name: sql for name, (_, sql) in _all.items()} | content.oracle_sql()

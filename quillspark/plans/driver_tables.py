@@ -63,7 +63,9 @@ def state_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_lang_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).filter("event_type = 'view'").select("seq", F.lit(state.LAST).alias("op"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("int").alias("theme"), F.lit(None).cast("string").alias("item_id"), F.col("lang").alias("payload"))
+    """A view opens its language; it is noted only if the language has phrases."""
+    have = table(spark, sf_dir, "documents").select("lang", F.lit("ok").alias("status")).distinct()
+    return state.save_opened(events(spark, sf_dir).filter("event_type = 'view'").select("seq", "lang"), have)
 
 
 def label_stars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,8 +26,11 @@ def _whole(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     if not there:
         return wanted.withColumn("body", F.lit(None).cast("string"))
     read = spark.read.text([f"{folder}/{n}" for n in there], wholetext=True).select(F.col("_metadata.file_name").alias("asset"), F.col("value").alias("body"))
-    empty = F.when(F.col("asset").isin(there), F.coalesce("body", F.lit("")))  # Spark gives no row for an empty file
-    return wanted.join(F.broadcast(read), "asset", "left").withColumn("body", empty)
+    # the bodies stay where they were read: what is sent about is the list of names
+    found = read.join(F.broadcast(wanted), "asset")
+    none = wanted.filter(~F.col("asset").isin(there)).withColumn("body", F.lit(None).cast("string"))
+    bare = [n for n in there if store.getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}")).getLen() == 0]  # Spark gives no row for these
+    return found.unionByName(none).unionByName(wanted.filter(F.col("asset").isin(bare)).withColumn("body", F.lit("")))
 
 
 def _fields(v: Column, shape: dict) -> list[Column]:

@@ -93,3 +93,19 @@ def test_state(spark, tmp_path):
     assert {tuple(r) for r in spark.table("toggles").collect()} == {("a", "i", True), ("a", "j", False)}
     want = {tuple(r) for r in state.latest(log, state.POSITION, "lang", "theme").select("lang", "theme", "payload").collect()}
     assert {tuple(r) for r in spark.table("latest").select("lang", "theme", "payload").collect()} == want
+
+
+def test_written_state(spark, tmp_path):
+    """Rows are only added: the last write wins, a place is clamped, a language that didn't load isn't noted."""
+    log = str(tmp_path / "log")
+    rows = spark.createDataFrame([(1, "es", 1, 9, 4), (2, "es", 1, -3, 4), (3, "it", 2, 5, None), (4, "es", 2, 7, 5)], "seq long, lang string, theme int, wanted int, n int")
+    state.append(state.save_positions(rows.filter("seq > 1")), log)
+    state.append(state.save_positions(rows.filter("seq = 1")), log)  # late, but not the last change
+    status = spark.createDataFrame([("es", "ok"), ("it", "malformed")], "lang string, status string")
+    state.append(state.save_opened(rows, status), log)
+    state.append(state.save_acks(rows.filter("seq = 3")), log)
+    read = spark.read.schema(LOG).parquet(log)
+    assert {tuple(r) for r in state.positions(read).collect()} == {("es", 1, 0), ("it", 2, 0), ("es", 2, 4)}
+    assert state.last_lang(read).first().last_lang == "es" and state.latest(read, state.LAST).first().seq == 4
+    assert [tuple(r) for r in state.acks(read).collect()] == [("it", True)]
+    assert state.positions(state.save_positions(rows.filter("seq = 4"), F.lit(2))).first().position == 1
