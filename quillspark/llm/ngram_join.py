@@ -423,3 +423,19 @@ def representatives(docs: DataFrame, **how) -> DataFrame:
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
     return component_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+tied AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reached AS (SELECT doc_id AS d, doc_id AS r FROM n UNION SELECT reached.d, tied.y FROM reached JOIN tied ON tied.x = reached.r)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(l.first, documents.doc_id) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT d AS doc_id, min(r) AS first FROM reached GROUP BY 1) l USING (doc_id)
+"""

@@ -1,7 +1,7 @@
 """WARC archives: a writer, and a splittable reader.
 
 Writing: each task writes its records, one gzip member each, to a file of its own under a temporary name and then moves it into place, so a task
-that runs twice leaves one file. Of equal payloads the page with the smallest id is a response and the others are revisits of it.
+that runs twice leaves one file; a file in place is whole and is never replaced. Of equal payloads the page with the smallest id is a response and the others are revisits of it.
 
 Reading: a file is cut into byte ranges without an index. A task scans its range for the gzip magic; a candidate is a record if its member inflates,
 passes the gzip checksum, begins with a WARC header and has the length that header states. Where a chain of records breaks off before the range's end
@@ -27,6 +27,8 @@ from .common import new_path, parts, pick, written
 
 #: Payloads under LEAST bytes are stored each time. SPLIT: bytes of an archive to a reading task.
 LEAST, SPLIT = 100, 4 << 20
+#: Bytes of payloads that a reading task keeps before it knows that its records follow one another to its range's end.
+HELD = 64 << 20
 MAGIC, START = b"\x1f\x8b\x08", b"WARC/1."
 DATE = "1970-01-01T00:00:00Z"
 _STEP = 1 << 14
@@ -96,9 +98,10 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
                 size, count = size + len(member), count + 1
         if out is not None:
             out.close()
-            if store.get_file_info(name).type != fs.FileType.NotFound:
-                store.delete_file(name)
-            store.move(trial, name)
+            if store.get_file_info(name).type == fs.FileType.NotFound:
+                store.move(trial, name)
+            else:  # another attempt of this task was first, with the same records
+                store.delete_file(trial)
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name.rpartition('/')[2]}"]), pa.array([size]), pa.array([count])], names=["path", "bytes", "records"])
 
     return written(decided(pages, least).mapInArrow(run, "path string, bytes long, records long"), "warc-files")
@@ -165,22 +168,30 @@ def _walk(data: _Bytes, at: int):
         at = got[1]
 
 
-def records_in(file, size: int, start: int, end: int):
+def records_in(file, size: int, start: int, end: int, held: int = HELD):
     """(fields, HTTP head, payload) of the records that start in [start, end)."""
     data, at = _Bytes(file, size), start
     while (at := data.find(at, end)) >= 0:
-        chain, sure = [], True
+        chain, size_held, rest, sure = [], 0, None, True
         for here, found in _walk(data, at):
             if here >= end:
                 break
             if not found:
                 sure = False
                 break
-            chain.append(found)
+            if rest is None and chain and size_held > held:
+                rest = here  # until the chain is known to be sound, no more than this is kept; what follows is read again
+            if rest is None:
+                chain.append(found)
+                size_held += len(found[2])
         if not chain:
             at += 1  # the magic was part of other bytes
         elif sure:
             yield from chain
+            for here, found in _walk(data, rest) if rest is not None else ():
+                if here >= end:
+                    return
+                yield found
             return
         else:  # a stream within a payload, or a damaged file: only the way from the file's start can tell
             for here, found in _walk(data, 0):

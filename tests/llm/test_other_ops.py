@@ -233,7 +233,12 @@ def test_sentencepiece(spark):
         assert (r.n_ids, r.ids_crc32, r.parity) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
         assert r.round_trip == (theirs.decode(ids) == (texts[r.doc_id] or ""))
     assert sentencepiece_codec.checked(frame.limit(0), path).count() == 0
+    assert sentencepiece_codec.Codec(path, verify=False).agrees("a", np.array([5], "<u4")) is None
     coder = sentencepiece_codec.Codec(path)
+    for wrong in ([5], [5, 5]):
+        assert coder.agrees("ends in spaces  ", np.array(wrong, "<u4")) is False
+    odd = [theirs.encode("a </s> b"), [1, *theirs.encode("x y"), 2], [0], []]
+    assert coder.decode_batch(odd) == [coder.decode(x) for x in odd]
     assert coder.tokenizer.decode(theirs.encode("Hi é 🙂 there")) == "Hi é 🙂 there"
 
 
@@ -295,6 +300,7 @@ def test_warc_splits_agree_at_every_size():
     for split in (1, 7, 100, 1000, len(data)):
         got = [p for a in range(0, len(data), split) for _, _, p in warc.records_in(File(data), len(data), a, min(a + split, len(data)))]
         assert got == payloads
+        assert payloads == [p for a in range(0, len(data), split) for _, _, p in warc.records_in(File(data), len(data), a, min(a + split, len(data)), held=100)]
     with pytest.raises(ValueError):
         list(warc.records_in(File(data[:-5]), len(data) - 5, 0, len(data) - 5))
 
