@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def numbered(df: DataFrame, keys: list[str], ord_: str, name: str = "rn", block: int = 65536) -> DataFrame:
-    """row_number() over (keys, ordered by the whole number ord_), from 1. A key's rows are dealt over blocks of ord_; a block's rows are numbered by one
-    task and shifted by the sizes of the blocks before it (a table of one row a block)."""
-    cut = df.withColumn("_block", F.floor(F.col(ord_) / block))
+    """row_number() over (keys, ordered by the whole number ord_), from 1. A key's rows are dealt over blocks of ord_, as wide as `block` rows of the
+    table would take if they lay evenly between the smallest and the largest, however sparse; a block's rows are numbered by one task and shifted by the
+    sizes of the blocks before it (a table of one row a block, of which a key has no more than one for each `block` rows of the table)."""
+    place, least, most = F.col(ord_).cast("double"), F.min(ord_).cast("double"), F.max(ord_).cast("double")
+    even = df.agg(F.struct(least.alias("least"), F.greatest((most - least + 1) / F.ceil(F.count(ord_) / block), F.lit(1.0)).alias("width")).alias("even")).scalar()
+    cut = df.withColumn("_block", F.coalesce(F.floor((place - even["least"]) / even["width"]), F.lit(-1)))
     sizes = cut.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -1,5 +1,7 @@
 """What the pages show, on small tables."""
 
+import pytest
+
 from quillspark.operators import phrases as P
 from quillspark.operators.ranking import numbered
 
@@ -61,8 +63,11 @@ def test_briefing(spark):
     assert [tuple(r) for r in P.briefing(sounds, acks).collect()] == [("b", "s", "r — f", "t")]
 
 
-def test_numbered_over_blocks(spark):
-    rows = spark.range(100).selectExpr("id % 3 AS k", "id * 7 AS o")
-    got = {(r.k, r.o): r.rn for r in numbered(rows, ["k"], "o", block=50).collect()}
+@pytest.mark.parametrize("order", ["id * 7", "xxhash64(id)", "id - 50", "9223372036854775807 - id"])
+@pytest.mark.parametrize("block", [7, 50, 65536])
+def test_numbered_over_blocks(spark, order, block):
+    rows = spark.range(100).selectExpr("id % 3 AS k", f"{order} AS o")
+    assert numbered(rows.limit(0), ["k"], "o", block=block).count() == 0
+    got = {(r.k, r.o): r.rn for r in numbered(rows, ["k"], "o", block=block).collect()}
     for k in range(3):
         assert [got[x] for x in sorted(x for x in got if x[0] == k)] == list(range(1, len([x for x in got if x[0] == k]) + 1))
