@@ -12,7 +12,7 @@ _OPERATORS = {
     4: ("exact_dedup", "op4_exact_dedup", "OP4_SQL"),
     5: ("warc", "op5_warc", "OP5_SQL"),
     6: ("sentencepiece_codec", "op6_sentencepiece", None),
-    7: ("suffix_dedup", "op7_suffix_dedup", None),
+    7: ("suffix_dedup", "op7_suffix_dedup", "OP7_SQL"),
     8: ("ngram_join", "op8_ngram_join", "OP8_SQL"),
     9: ("language_id", "op9_language_id", None),
     10: ("top_k", "op10_top_k", "OP10_SQL"),

@@ -424,3 +424,23 @@ def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """The contract's columns and, as `text`, what is left of each text."""
     docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="long", text="string")
     return deduplicated(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"))
+
+
+#: Windows are compared by their md5 here. `text` is what is left less the bytes that are part of no character, found in hexadecimal.
+OP7_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, md5(array_slice(b, i + 1, i + {WINDOW})) AS s FROM (SELECT r, b, unnest(range(octet_length(b) - {WINDOW} + 1)) AS i FROM d)),
+often AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + {WINDOW}, -1) AS new FROM w SEMI JOIN often USING (s)),
+span AS (SELECT r, k, min(i) AS a, max(i) + {WINDOW} AS e FROM (SELECT r, i, sum(new::int) OVER (PARTITION BY r ORDER BY i) AS k FROM hit) GROUP BY r, k),
+edge AS (SELECT r, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY a) AS a, a AS e FROM span UNION ALL SELECT r, max(e), 1::bigint << 40 FROM span GROUP BY r),
+rest AS (SELECT r, string_agg(hex(array_slice(b, a + 1, e)), '' ORDER BY a) AS h FROM edge JOIN d USING (r) GROUP BY r),
+n AS (SELECT r, sum(e - a)::bigint AS n_removed, count(*) AS n_spans FROM span GROUP BY r),
+o AS (SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(unhex(h), b) AS kept, coalesce(h, '') AS h
+      FROM d LEFT JOIN n USING (r) LEFT JOIN rest USING (r))
+SELECT doc_id, n_bytes, n_removed, n_spans, sha256(kept) AS kept_sha256,
+       coalesce(try(decode(kept)), decode(unhex(array_to_string([x FOR x IN regexp_extract_all(h,
+         '[0-7].|(?:C[2-9A-F]|D.)[89AB].|E0[AB].[89AB].|E[1-9ABCEF](?:[89AB].){{2}}|ED[89].[89AB].|F0[9AB].(?:[89AB].){{2}}|F[123](?:[89AB].){{3}}|F48.(?:[89AB].){{2}}|..')
+         IF length(x) > 2 OR x < '80'], '')))) AS text
+FROM o
+"""
