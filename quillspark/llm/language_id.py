@@ -2,8 +2,9 @@
 
 Letters are lower-cased, everything else is a gap; the 1-, 2- and 3-grams of code points are hashed into a fixed number of slots. A slot's value
 is its share of a text's grams times its inverse document frequency. The weights are trained by follow-the-regularised-leader with an
-elastic net (most stay exactly zero), one row at a time, on a bounded sample of labelled rows (`sample`,
-chosen by a hash of doc_id). A fifth of the sample is kept out of training and sets the temperature that divides the scores. Prediction is linear in the
+elastic net (most stay exactly zero), one row at a time, on a sample of labelled rows that is bounded in rows (`SAMPLE`) and in bytes (`SAMPLE_BYTES`),
+chosen by a hash of doc_id. Its texts, whole, are counted where they lie; the driver gets a text's slots and counts, whatever its length at most 8 bytes for
+each of the 1 << BITS slots. A fifth of the sample is kept out of training and sets the temperature that divides the scores. Prediction is linear in the
 grams, so whole texts are scored at array speed with memory bounded by a slice of a batch.
 
 Rows with crc32(doc_id as text) mod 4 = 2 are held out: never learned from. A null doc_id is neither held out nor learned from. Text that is null
@@ -13,6 +14,8 @@ are predicted each. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,6 +26,8 @@ from .common import pick, ship
 from .units import slices
 
 SAMPLE, BITS, GRAMS = 3000, 17, 3
+#: Bytes of counts that the sample may take, counted as if no gram came twice in a text that has fewer grams than there are slots.
+SAMPLE_BYTES = 256 << 20
 #: Bytes of text scored at a time (or one longer text).
 PART = 250_000
 #: Odd multipliers that mix the code points of a gram.
@@ -96,16 +101,19 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 3) -> Model:
+def counts(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray] | None:
+    """The slots of a text's grams and how often each comes; None for a text without a letter."""
+    slots, _, lettered = grams([text], bits)
+    if not lettered[0]:
+        return None
+    found, n = np.unique(slots[slots < 1 << bits], return_counts=True)
+    return found, n.astype(np.int32)
+
+
+def train(counted: list[tuple[np.ndarray, np.ndarray]], labels: list[str], bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 3) -> Model:
     languages = sorted(set(labels))
     size = 1 << bits
-    rows = []
-    for text, label in zip(texts, labels, strict=True):
-        slots, _, lettered = grams([text], bits)
-        if lettered[0]:
-            inside = slots[slots < size]
-            found, n = np.unique(inside, return_counts=True)
-            rows.append((found, n / len(inside), languages.index(label)))
+    rows = [(found, n / n.sum(dtype=np.int64), languages.index(label)) for (found, n), label in zip(counted, labels, strict=True)]
     table = np.zeros((size + 1, len(languages)))
     if not rows or len(languages) < 2:
         return Model(languages if rows else [], table, np.zeros(len(languages)), 1.0, bits)
@@ -145,19 +153,29 @@ def _held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fitted(docs: DataFrame, sample: int = SAMPLE) -> Model:
+def fitted(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Trains on at most `sample` rows of `docs` that have a doc_id, a lang and a text and aren't held out: all, or those whose hash of doc_id is below
-    the threshold that some nine tenths of `sample` rows meet, so no task sends more than its share of them to the driver."""
+    the threshold that some nine tenths of `sample` rows, or counts of `sample_bytes`, meet, so no task sends more than its share of them to the driver."""
     rows = (
         pick(docs, doc_id="long", text="string", lang="string")
         .filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~_held_out())
         .withColumn("h", F.xxhash64("doc_id"))
     )
-    total = rows.count()
-    if total > sample:
-        rows = rows.filter(F.pmod("h", F.lit(1 << 40)) < int((1 << 40) * 0.9 * sample / total)).limit(sample)
-    got = sorted((r.h, r.lang, r.text) for r in rows.select("h", "lang", "text").collect())
-    return train([r[2] for r in got], [r[1] for r in got])
+    size = 8 * F.least(GRAMS * (F.char_length("text").cast("long") + 2), F.lit(1 << BITS).cast("long"))
+    total, size = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    if total > sample or size > sample_bytes:
+        rows = rows.filter(F.pmod("h", F.lit(1 << 40)) < int((1 << 40) * 0.9 * min(sample / total, sample_bytes / size))).limit(sample)
+
+    def run(batches):
+        for batch in batches:
+            for h, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if got := counts(text):
+                    yield pa.RecordBatch.from_pydict({"h": [h], "lang": [lang], "crc": [zlib.crc32(text.encode("utf-8", "surrogatepass"))], "slots": [got[0].tobytes()], "n": [got[1].tobytes()]})
+
+    ship(docs.sparkSession)
+    got = rows.select("h", "lang", "text").mapInArrow(run, "h long, lang string, crc long, slots binary, n binary").collect()
+    got.sort(key=lambda r: (r.h, r.lang, r.crc))
+    return train([(np.frombuffer(r.slots, np.int32), np.frombuffer(r.n, np.int32)) for r in got], [r.lang for r in got])
 
 
 def predicted(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> DataFrame:

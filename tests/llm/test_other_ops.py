@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import zlib
 from collections import Counter
@@ -344,6 +345,61 @@ def test_language(spark):
     assert kept.columns == frame.columns and {r.doc_id for r in kept.select("doc_id").collect()} >= set(truth)
 
 
+def ftrl_plain(rows, languages, alpha=0.3, beta=1.0, l1=0.02, l2=0.01, epochs=3):
+    """Follow-the-regularised-leader one coordinate at a time: {(slot, language): weight}, idf and the bias under slot None."""
+    taught = [r for i, r in enumerate(rows) if i % 5 != 4]
+    df = {}
+    for counted, _ in taught:
+        for slot in counted:
+            df[slot] = df.get(slot, 0) + 1
+    idf = {s: math.log((1 + len(taught)) / (1 + n)) + 1 for s, n in df.items()}
+    z, n = {}, {}
+
+    def weight(key):
+        zk = z.get(key, 0.0)
+        return 0.0 if abs(zk) <= l1 else -(zk - math.copysign(l1, zk)) / ((beta + math.sqrt(n.get(key, 0.0))) / alpha + l2)
+
+    for _ in range(epochs):
+        for counted, lang in taught:
+            x = {s: language_id.SCALE * c / sum(counted.values()) * idf[s] for s, c in counted.items()} | {None: 1.0}
+            logits = {k: sum(v * weight((s, k)) for s, v in x.items()) for k in languages}
+            top = max(logits.values())
+            total = sum(math.exp(v - top) for v in logits.values())
+            for k in languages:
+                error = math.exp(logits[k] - top) / total - (k == lang)
+                for s, v in x.items():
+                    g, old, w = error * v, n.get((s, k), 0.0), weight((s, k))
+                    z[s, k] = z.get((s, k), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w
+                    n[s, k] = old + g * g
+    return {key: weight(key) for key in z}, idf
+
+
+def test_language_training_step_by_step():
+    words = {"en": "the and that", "fr": "le la des", "de": "der und nicht"}
+    texts = [(" ".join(random.Random(i).choices(words[k].split(), k=12)), k) for i in range(24) for k in [list(words)[i % 3]]]
+    counted = [language_id.counts(t) for t, _ in texts]
+    model = language_id.train(counted, [k for _, k in texts])
+    want, idf = ftrl_plain([(dict(zip(c[0].tolist(), c[1].tolist(), strict=True)), k) for c, (_, k) in zip(counted, texts, strict=True)], model.languages)
+    assert any(w == 0 for w in want.values()) and any(w for w in want.values())
+    for (slot, lang), w in want.items():
+        got, expected = (model.bias, w) if slot is None else (model.table[slot], w * idf[slot])
+        assert got[model.languages.index(lang)] == pytest.approx(expected, rel=1e-5, abs=1e-9)
+    unseen = np.setdiff1d(np.arange(len(model.table)), [s for s, _ in want if s is not None])
+    assert not model.table[unseen].any()
+
+
+def test_language_of_long_texts(spark):
+    """A text of millions of characters is counted whole, and the sample is bounded in bytes."""
+    long = {"en": "the and that with from " * 100_000, "fr": "le la des avec pour " * 100_000}
+    rows = [(i, long[k] if i < 2 else " ".join(random.Random(i).choices(long[k][:60].split(), k=20)), k) for i in range(300) for k in [("en", "fr")[i % 2]]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for bound in (language_id.SAMPLE_BYTES, 200_000):
+        got = {r.doc_id: r.lang_pred for r in language_id.predicted(frame, language_id.fitted(frame, sample_bytes=bound)).collect()}
+        assert got == {i: k for i, _, k in rows}
+    whole, (slots, n) = long["en"], language_id.counts(long["en"])
+    assert n.sum() == 3 * (len(whole) + 1) - 3 and len(slots) < 200
+
+
 def top_brute(rows, k, every):
     valid = {i: [int(np.nan_to_num(np.floor(64 * np.float64(x)))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     out = []
