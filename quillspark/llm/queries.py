@@ -16,6 +16,7 @@ _OPERATORS = {
     8: ("ngram_join", "op8_ngram_join", "OP8_SQL"),
     9: ("language_id", "op9_language_id", None),
     10: ("top_k", "op10_top_k", "OP10_SQL"),
+    11: ("spelling_variants", "op11_spelling_variants", "OP11_SQL"),
 }
 
 
