@@ -17,6 +17,7 @@ _OPERATORS = {
     9: ("language_id", "op9_language_id", None),
     10: ("top_k", "op10_top_k", "OP10_SQL"),
     11: ("spelling_variants", "op11_spelling_variants", "OP11_SQL"),
+    12: ("quality_crf", "op12_quality_crf", None),
     13: ("centroid_clusters", "op13_centroid_clusters", "OP13_SQL"),
 }
 
