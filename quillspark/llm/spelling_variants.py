@@ -18,7 +18,7 @@ frequent near words go to the smaller in code-point order. Words of any length a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, forget, pick, written
@@ -29,6 +29,8 @@ LEAST_CHARS, LEAST_COUNT, FACTOR = 6, 5, 5
 SPOILT = 199
 #: Words of one length that may share a segment before what is left of them is cut again.
 FEW = 32
+#: Longer rests are compared by the length of their common start: counting edits takes the square of the length.
+LONG = 64
 
 
 def word_counts(docs: DataFrame, least_chars: int = LEAST_CHARS, least_count: int = LEAST_COUNT) -> DataFrame:
@@ -62,20 +64,30 @@ def _cut(rows: DataFrame) -> DataFrame:
     return rows.select("longer", "word", "n", F.explode(F.array(first, second)).alias("c")).select("c.key", "longer", "c.m", "word", "n", "c.rest")
 
 
+def _one_edit(a: Column, b: Column, longer: Column) -> Column:
+    """Whether different a and b, of which b is the longer by one or neither is, are one edit apart."""
+    start = F.aggregate(
+        F.array(*(F.lit(1 << k) for k in range(30, -1, -1))), F.lit(0),
+        lambda have, k: F.when(F.substring(a, F.lit(1), have + k) == F.substring(b, F.lit(1), have + k), have + k).otherwise(have),
+    )
+    after = lambda c, skip: F.substring(c, start + 1 + skip, F.char_length(b))
+    return F.when(F.char_length(a) <= LONG, F.levenshtein(a, b, 1) == 1).otherwise(after(a, F.when(longer, 0).otherwise(1)) == after(b, F.lit(1)))
+
+
 def near_pairs(words: DataFrame, few: int = FEW) -> DataFrame:
     """(a, a_n, b, b_n): all pairs of different `words` (word, n) that are one edit apart, each once."""
     rows, found = _classes(words), None
     while True:
         rows = written(_cut(rows), "spelling-segments")
-        shorter = rows.groupBy("key").agg(F.count_if(~F.col("longer")).alias("indexed"), F.max("m").alias("m"))
-        hot = written(shorter.filter((F.col("indexed") > few) & (F.col("m") > 1)).select("key", F.lit(True).alias("hot")), "spelling-hot")
+        met = rows.groupBy("key").agg(F.count_if(~F.col("longer")).alias("indexed"), F.max("m").alias("m"))
+        hot = written(met.filter((F.col("indexed") > few) & (F.col("m") > 1)).select("key", F.lit(True).alias("hot")), "spelling-hot")
         more = hot.count()
         told = rows.join(hot, "key", "left") if more else rows.withColumn("hot", F.lit(None).cast("boolean"))
         cool = told.filter(F.col("hot").isNull())
         one = cool.filter(~F.col("longer")).select("key", F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("rest").alias("a_rest"))
         other = cool.select("key", "longer", F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("rest").alias("b_rest"))
-        met = (F.col("longer") | (F.col("a") < F.col("b"))) & (F.levenshtein("a_rest", "b_rest", 1) == 1)
-        pairs = one.join(other, "key").filter(met).select("a", "a_n", "b", "b_n")
+        near = (F.col("longer") | (F.col("a") < F.col("b"))) & _one_edit(F.col("a_rest"), F.col("b_rest"), F.col("longer"))
+        pairs = one.join(other, "key").filter(near).select("a", "a_n", "b", "b_n")
         found = pairs if found is None else found.unionAll(pairs)
         if not more:
             return found.distinct()

@@ -20,6 +20,9 @@ COLUMNS = {
     "op8_ngram_join": "doc_id n_shingles component_id",
     "op9_language_id": "doc_id held_out lang_pred score",
     "op10_top_k": "query_id rank vec_id score",
+    "op11_spelling_variants": "word form root n n_near form_n",
+    "op12_quality_crf": "doc_id held_out score predicted",
+    "op13_centroid_clusters": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
 }
 
 
