@@ -7,8 +7,8 @@ share of good lines, which a calibration (fitted on texts kept out of training)
 
 Only texts are labelled, so lines are labelled in turns: first each line has its text's label and weights without transitions are fitted; then the lines of bad
 texts that these call good, but for the worst of each text, are taken as good, and the whole field is fitted by the exact gradient of its likelihood. Learning
-uses at most `SAMPLE` labelled texts, whose bins take at most `SAMPLE_BYTES`, chosen by a hash of doc_id; their lines are
-reduced to bins where they lie, and only bins go to the driver. Scoring covers every line of every text, in pieces of `PART` code points at a time.
+uses at most `SAMPLE` labelled texts, whose bins take at most `SAMPLE_BYTES`, those with the smallest hashes of doc_id (of texts that share one, the smallest); their
+lines are reduced to bins by the executors, and only bins go to the driver. Scoring covers every line of every text, in pieces of `PART` code points at a time.
 
 Rows with crc32(doc_id as text) mod 5 = 0 are held out: never learned from. A null doc_id is neither held out nor learned from; null labels aren't either. A doc_id that has both labels
 is learned from twice. Null or empty text is one empty line and gets the score that such a text's features have. Lines weigh their number of code points; where all are
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, ship
+from .common import pick, ship, written
 from .units import slices
 
 SAMPLE, LEAST = 3000, 0.3
@@ -357,21 +357,31 @@ def _held_out():
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Field | Share:
     """Trains on at most `sample` rows of `docs` whose doc_id has a quality of 0 or 1 in `labels` and isn't held out."""
     marks = pick(labels, doc_id="long", quality="int").filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~_held_out()).distinct()
-    rows = pick(docs, doc_id="long", text="string").filter(F.col("text").isNotNull()).join(marks, "doc_id").withColumn("h", F.xxhash64("doc_id"))
-    size = F.lit(len(FEATURES) + 8) * (F.char_length("text") - F.char_length(F.translate("text", "\n", "")) + 1)
-    total, size = rows.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
-    if total > sample or size > sample_bytes:
-        rows = rows.filter(F.pmod("h", F.lit(1 << 40)) < int((1 << 40) * 0.9 * min(sample / total, sample_bytes / size))).limit(sample)
+    texts = pick(docs, doc_id="long", text="string").filter(F.col("text").isNotNull())
+    h = F.xxhash64("doc_id")
+    # ids alone meet the labels; the texts stay where they are and meet a table of at most `sample` rows
+    known = marks.join(texts.select("doc_id"), "doc_id", "left_semi").orderBy(h, "doc_id", "quality").limit(sample)
+    chosen = written(known, "quality-sample")
+    taken = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def run(batches):
         for batch in batches:
-            for h, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found, length, _ = bins([text])
-                yield pa.RecordBatch.from_pydict({"h": [h], "quality": pa.array([label], pa.int32()), "bins": [found.tobytes()], "length": [length.astype(np.int64).tobytes()]})
+                yield pa.RecordBatch.from_pydict({"doc_id": [doc], "quality": pa.array([label], pa.int32()), "lines": [len(found)], "bins": [found.tobytes()], "length": [length.astype(np.int64).tobytes()]})
 
     ship(docs.sparkSession)
-    got = rows.select("h", "quality", "text").mapInArrow(run, "h long, quality int, bins binary, length binary").collect()
-    got.sort(key=lambda r: (r.h, r.quality, r.bins))
+    binned = written(taken.mapInArrow(run, "doc_id long, quality int, lines long, bins binary, length binary").withColumn("h", h), "quality-bins")
+    room, last = sample_bytes, None
+    for r in sorted(binned.select("h", "doc_id", "quality", "lines").collect()):
+        room -= r.lines * (len(FEATURES) + 8)
+        if room < 0:
+            break
+        last = r
+    if last is None:
+        return train([])
+    within = F.struct("h", "doc_id", "quality") <= F.struct(*(F.lit(last[i]).cast(t) for i, t in enumerate(("long", "long", "int"))))
+    got = binned.filter(within).orderBy("h", "doc_id", "quality").collect()
     return train([(np.frombuffer(r.bins, np.uint8).reshape(-1, len(FEATURES)), np.frombuffer(r.length, np.int64), r.quality) for r in got])
 
 
