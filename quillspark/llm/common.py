@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII white space of the contracts: U+0020 and U+0009 to U+000D.
@@ -42,6 +42,11 @@ def pick(df: DataFrame, **kinds: str) -> DataFrame:
     return plain.select(*(F.col(f"_{cols.index(k)}").cast(v).alias(k) for k, v in kinds.items()))
 
 
+def text_name(text: Column) -> Column:
+    """16 bytes, of SHA-256, that tell texts apart whatever they hold; a null has its own name."""
+    return F.coalesce(F.unhex(F.substring(F.sha2(text, 256), 1, 32)), F.lit(bytearray()))
+
+
 def parts(spark: SparkSession) -> int:
     """How many tasks a shuffle is dealt to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

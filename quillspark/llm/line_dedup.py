@@ -1,6 +1,6 @@
 """Line dedup by range-partitioned hashes.
 
-Each line's key (stripped, A-Z lower-cased) is hashed to 128 bits. The hashes are range-partitioned and sorted by (hash, document, position);
+Each line's key (stripped, A-Z lower-cased) is named by 128 bits of its SHA-256, which no two keys share whatever their makers intend. The hashes are range-partitioned and sorted by (hash, document, position);
 the first row of a hash in that order belongs to the document that keeps the line, and a streaming window marks all rows of later
 documents. What returns to the documents is no text but their keep bitmap, run-length coded as the runs of dropped positions. A hash
 with a large share of all rows is settled beforehand by a partial aggregate (its smallest document), so it never meets in one task.
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, NO_ID, UPPER, hot, parts, pick, written
+from .common import BLANKS, LOWER, NO_ID, UPPER, hot, parts, pick, text_name, written
 
 LEAST = 10
 
@@ -27,9 +27,9 @@ def _lines(text) -> Column:
 def _rows(docs: DataFrame, least: int) -> DataFrame:
     key = lambda x: F.translate(F.btrim(x, F.lit(BLANKS)), UPPER, LOWER)
     return (
-        docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("dk"), F.xxhash64("text").alias("th"), F.posexplode(F.transform(_lines(F.col("text")), key)).alias("pos", "key"))
+        docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("dk"), text_name(F.col("text")).alias("th"), F.posexplode(F.transform(_lines(F.col("text")), key)).alias("pos", "key"))
         .filter(F.char_length("key") >= least)
-        .select("dk", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+        .select("dk", "th", "pos", text_name(F.col("key")).alias("hash"))
     )
 
 
@@ -38,17 +38,17 @@ def dropped_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     spark = docs.sparkSession
     tasks = parts(spark)
     rows = _rows(pick(docs, doc_id="long", text="string"), least)
-    counted = written(rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("dk").alias("first")).filter("n > 1"), "line-counts")
+    counted = written(rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("dk").alias("first")).filter("n > 1"), "line-counts")
     total = counted.agg(F.sum("n")).first()[0] or 0
-    heavy = hot(counted, total, tasks).select("h1", "h2", "first")
-    marked = rows.join(F.broadcast(heavy), ["h1", "h2"], "left")
+    heavy = hot(counted, total, tasks).select("hash", "first")
+    marked = rows.join(F.broadcast(heavy), "hash", "left")
     at_once = marked.filter(F.col("dk") > F.col("first")).select("dk", "th", "pos")
     ranged = (
         marked.filter(F.col("first").isNull()).drop("first")
-        .repartitionByRange(tasks, "h1", "h2")
-        .sortWithinPartitions("h1", "h2", "dk", "pos")
+        .repartitionByRange(tasks, "hash")
+        .sortWithinPartitions("hash", "dk", "pos")
     )
-    so_far = Window.partitionBy("h1", "h2").orderBy("dk", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy("hash").orderBy("dk", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     later = ranged.withColumn("first", F.first("dk").over(so_far)).filter(F.col("dk") > F.col("first")).select("dk", "th", "pos")
     island = F.col("pos") - F.dense_rank().over(Window.partitionBy("dk", "th").orderBy("pos"))
     runs = (
@@ -67,7 +67,7 @@ def with_kept_text(docs: DataFrame, least: int = LEAST) -> DataFrame:
     cols = docs.columns
     plain = docs.toDF(*(f"_{i}" for i in range(len(cols))))
     dk, text = F.col(f"_{cols.index('doc_id')}").cast("long"), F.col(f"_{cols.index('text')}").cast("string")
-    keyed = plain.select("*", F.coalesce(dk, F.lit(NO_ID)).alias("dk"), F.xxhash64(text).alias("th"))
+    keyed = plain.select("*", F.coalesce(dk, F.lit(NO_ID)).alias("dk"), text_name(text).alias("th"))
     joined = keyed.join(dropped_runs(docs, least), ["dk", "th"], "left").withColumn("lines", _lines(text))
     starts = F.concat(F.array(F.lit(0)), F.col("runs.end"))
     ends = F.concat(F.col("runs.start"), F.array(F.size("lines")))

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, hot, parts, pick, spread_join, written
+from .common import NO_ID, hot, parts, pick, spread_join, text_name, written
 from .components import components
 from .units import slices
 
@@ -150,7 +150,7 @@ def _tail(n: int, share: float) -> int:
     return max(1, c)
 
 
-SETS = "doc_id long, dk long, th long, n long, c1 long, c2 long, low array<long>"
+SETS = "doc_id long, dk long, th binary, n long, c1 long, c2 long, low array<long>"
 
 
 def _sets(batches, words: int, long: int):
@@ -272,7 +272,7 @@ def _families(batches, words: int, percent: int):
 
 def classes(docs: DataFrame, words: int = WORDS, long: int = LONG) -> DataFrame:
     """(doc_id, dk, th, n, c1, c2, low): size and class of each row's set, and its smallest names."""
-    base = pick(docs, doc_id="long", text="string").select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("dk"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    base = pick(docs, doc_id="long", text="string").select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("dk"), text_name(F.col("text")).alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
     return base.mapInArrow(lambda b: _sets(b, words, long), SETS)
 
 
@@ -346,7 +346,7 @@ def links(docs: DataFrame, rows: DataFrame, words: int = WORDS, percent: int = P
     """(u, v): verified links between nodes, enough to connect each component; and the nodes (node, c1, c2, ...)."""
     kept, family = _candidates(rows.filter("n > 0"), percent, short, long)
     members = kept.join(family, "node").select("node", "family", "n", "dk", "th")
-    base = pick(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("dk"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("bytes"))
+    base = pick(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("dk"), text_name(F.col("text")).alias("th"), F.col("text").cast("binary").alias("bytes"))
     if not rows.groupBy("dk", "th").agg(F.count("*").alias("many")).filter("many > 1").isEmpty():  # of rows equal in doc_id and text one is enough
         base = base.groupBy("dk", "th").agg(F.first("bytes").alias("bytes"))
     whole = base.join(members, ["dk", "th"]).select("node", "family", "n", "bytes")
@@ -417,7 +417,7 @@ def representatives(docs: DataFrame, **how) -> DataFrame:
     cols = docs.columns
     plain = docs.toDF(*(f"_{i}" for i in range(len(cols))))
     body = F.col(f"_{cols.index('text')}").cast("string")
-    keyed = plain.withColumns({"dk": F.coalesce(F.col(f"_{cols.index('doc_id')}").cast("long"), F.lit(NO_ID)), "th": F.xxhash64(body)})
+    keyed = plain.withColumns({"dk": F.coalesce(F.col(f"_{cols.index('doc_id')}").cast("long"), F.lit(NO_ID)), "th": text_name(body)})
     return keyed.join(stay, ["dk", "th"], "left_semi").dropDuplicates(["dk", "th"]).drop("dk", "th").toDF(*cols)
 
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, forget, parts, pick, written
+from .common import NO_ID, forget, parts, pick, text_name, written
 from .fingerprints import prefix_sums, prints
 from .units import slices
 
@@ -165,7 +165,7 @@ def _grams(batches, window: int, gram: int, kind: str):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found[head].view(np.int64)), pa.array(n.astype(np.int64))], names=["dk", "th", "gram", "n"])
 
 
-RUNS = "dk long, th long, gram long, rel int, n long, firsts array<long>, id binary, span binary"
+RUNS = "dk long, th binary, gram long, rel int, n long, firsts array<long>, id binary, span binary"
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -176,7 +176,7 @@ def _spans(batches, window: int, gram: int, kind: str):
     """The runs of the grams listed with each text, with their bytes; equal runs of a text are one row with all their places. A text that stands for many
     copies counts as many."""
     names = [x.split()[0] for x in RUNS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
     both = lambda grams, rows: grams * np.uint64(0x9E3779B97F4A7C15) + rows.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     for batch in batches:
         for first, beyond in slices(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist(), 4 * SPAN):
@@ -347,7 +347,7 @@ def _repeats(runs: DataFrame, window: int, most_bytes: int, cuts: tuple[int, ...
 def _base(docs: DataFrame) -> DataFrame:
     """(dk, th, bytes, copies): rows equal in doc_id and text as one. Only a table that has such rows pays for their aggregate; its partial step leaves
     one row of a large group to each task."""
-    rows = pick(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("dk"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    rows = pick(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("dk"), text_name(F.col("text")).alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
     if rows.groupBy("dk", "th").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         return rows.withColumn("copies", F.lit(1).cast("long"))
     return rows.groupBy("dk", "th").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies"))
@@ -355,11 +355,11 @@ def _base(docs: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, kind: str = BYTES, window: int | None = None, gram: int | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(dk, th, ranges): of texts with repeated windows, the tokens these cover as (start, end) pairs that may overlap. dk and th are doc_id
-    (null: the largest long) and xxhash64 of the text."""
+    (null: the largest long) and the text's name."""
     window = window or (WINDOW if kind == BYTES else WORD_WINDOW)
     gram = gram or (GRAM if kind == BYTES else WORD_GRAM)
     base = _base(docs)
-    grams = written(base.mapInArrow(lambda b: _grams(b, window, gram, kind), "dk long, th long, gram long, n long"), "suffix-grams")
+    grams = written(base.mapInArrow(lambda b: _grams(b, window, gram, kind), "dk long, th binary, gram long, n long"), "suffix-grams")
     often = grams.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram")
     wanted = grams.join(often, "gram", "left_semi").groupBy("dk", "th").agg(F.collect_set("gram").alias("grams"))
     texts = base.join(wanted, ["dk", "th"]).select("dk", "th", "bytes", "grams", "copies")
@@ -395,7 +395,7 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
     kinds = [t for _, t in docs.dtypes]
     at = cols.index("text")
     text = F.col(f"_{at}").cast("string")
-    keyed = plain.select("*", F.coalesce(F.col(f"_{cols.index('doc_id')}").cast("long"), F.lit(NO_ID)).alias("dk"), F.xxhash64(text).alias("th"))
+    keyed = plain.select("*", F.coalesce(F.col(f"_{cols.index('doc_id')}").cast("long"), F.lit(NO_ID)).alias("dk"), text_name(text).alias("th"))
     joined = keyed.join(ranges, ["dk", "th"], "left").select(*plain.columns, "ranges", *([] if kinds[at] == "string" else [text.alias("body")]))
     body = at if kinds[at] == "string" else len(cols) + 1
 

@@ -271,3 +271,23 @@ def test_representatives(spark):
     odd = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c"), (None, None)], SCHEMA)
     assert rows_of(ngram_join.representatives(odd)) == sorted([(4, "a b c"), (None, None)], key=repr)
     assert rows_of(ngram_join.component_ids(odd.limit(0))) == []
+
+
+#: Two lines, and two texts, whose 64-bit hashes are equal under both seeds that an earlier form used; they share no line, and few shingles.
+TWINS = ["<}9';leisome filler text in lane/yqnkiw^some filler text in lane", "<}9';le}some filler text in lane/yq({)`5some filler text in lane"]
+
+
+@pytest.mark.parametrize("tail", ["", "\nand one equal end " + "of many equal words " * 60])
+def test_texts_and_lines_are_told_apart_by_strong_names(spark, tail):
+    hashes = spark.createDataFrame([(t,) for t in TWINS], "t string").selectExpr("xxhash64(t) AS a", "xxhash64(1, t) AS b").distinct().collect()
+    assert len(hashes) == 1
+    texts = [t + tail for t in TWINS]
+    frame = docs(spark, texts)
+    lines = {r.doc_id: r.n_dropped for r in line_dedup.with_kept_text(frame).collect()}
+    assert lines == {0: 0, 1: int(bool(tail))}
+    bare = spark.createDataFrame([(None, t) for t in texts], SCHEMA)
+    kept = [r.kept_text for r in suffix_dedup.deduplicated(bare).collect()]
+    common = len(texts[0]) - next(i for i, (a, b) in enumerate(zip(texts[0][::-1], texts[1][::-1], strict=True)) if a != b)
+    assert sorted(kept) == sorted(t[:common] if tail else t for t in texts)
+    few = ngram_join.representatives(spark.createDataFrame([(None, t) for t in TWINS], SCHEMA))
+    assert {r.text for r in few.collect()} == set(TWINS)
