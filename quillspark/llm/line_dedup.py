@@ -26,8 +26,9 @@ def _lines(text) -> Column:
 
 def _rows(docs: DataFrame, least: int) -> DataFrame:
     key = lambda x: F.translate(F.btrim(x, F.lit(BLANKS)), UPPER, LOWER)
+    named = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("dk"), text_name(F.col("text")).alias("th"), "text")  # once a text and not once a line
     return (
-        docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("dk"), text_name(F.col("text")).alias("th"), F.posexplode(F.transform(_lines(F.col("text")), key)).alias("pos", "key"))
+        named.select("dk", "th", F.posexplode(F.transform(_lines(F.col("text")), key)).alias("pos", "key"))
         .filter(F.char_length("key") >= least)
         .select("dk", "th", "pos", text_name(F.col("key")).alias("hash"))
     )
