@@ -23,11 +23,12 @@ many. Texts under a window lose nothing. An empty table gives no rows. Other col
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, forget, parts, pick, text_name, written
@@ -344,21 +345,27 @@ def _repeats(runs: DataFrame, window: int, most_bytes: int, cuts: tuple[int, ...
     return found
 
 
-def _base(docs: DataFrame) -> DataFrame:
+def _name(docs: DataFrame) -> Callable[[Column], Column]:
+    """What tells rows of one doc_id apart, from their text: nothing where no two rows share a doc_id, which spares the names."""
+    ids = pick(docs, doc_id="long").groupBy(F.coalesce("doc_id", F.lit(NO_ID))).agg(F.count("*").alias("n"))
+    return (lambda text: F.lit(bytearray())) if ids.filter("n > 1").isEmpty() else text_name
+
+
+def _base(docs: DataFrame, name: Callable[[Column], Column]) -> DataFrame:
     """(dk, th, bytes, copies): rows equal in doc_id and text as one. Only a table that has such rows pays for their aggregate; its partial step leaves
     one row of a large group to each task."""
-    rows = pick(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("dk"), text_name(F.col("text")).alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
-    if rows.groupBy("dk", "th").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+    rows = pick(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("dk"), name(F.col("text")).alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    if name is not text_name or rows.groupBy("dk", "th").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         return rows.withColumn("copies", F.lit(1).cast("long"))
     return rows.groupBy("dk", "th").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies"))
 
 
-def repeated_ranges(docs: DataFrame, kind: str = BYTES, window: int | None = None, gram: int | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+def repeated_ranges(docs: DataFrame, name: Callable[[Column], Column], kind: str = BYTES, window: int | None = None, gram: int | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(dk, th, ranges): of texts with repeated windows, the tokens these cover as (start, end) pairs that may overlap. dk and th are doc_id
-    (null: the largest long) and the text's name."""
+    (null: the largest long) and what `name` makes of the text."""
     window = window or (WINDOW if kind == BYTES else WORD_WINDOW)
     gram = gram or (GRAM if kind == BYTES else WORD_GRAM)
-    base = _base(docs)
+    base = _base(docs, name)
     grams = written(base.mapInArrow(lambda b: _grams(b, window, gram, kind), "dk long, th binary, gram long, n long"), "suffix-grams")
     often = grams.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram")
     wanted = grams.join(often, "gram", "left_semi").groupBy("dk", "th").agg(F.collect_set("gram").alias("grams"))
@@ -390,12 +397,13 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
     the remaining bytes as text, less those that are left of a character of which others went."""
     cols = docs.columns
     kind = how.get("kind", BYTES)
-    ranges = repeated_ranges(docs, **how)
+    name = _name(docs)
+    ranges = repeated_ranges(docs, name, **how)
     plain = docs.toDF(*(f"_{i}" for i in range(len(cols))))
     kinds = [t for _, t in docs.dtypes]
     at = cols.index("text")
     text = F.col(f"_{at}").cast("string")
-    keyed = plain.select("*", F.coalesce(F.col(f"_{cols.index('doc_id')}").cast("long"), F.lit(NO_ID)).alias("dk"), text_name(text).alias("th"))
+    keyed = plain.select("*", F.coalesce(F.col(f"_{cols.index('doc_id')}").cast("long"), F.lit(NO_ID)).alias("dk"), name(text).alias("th"))
     joined = keyed.join(ranges, ["dk", "th"], "left").select(*plain.columns, "ranges", *([] if kinds[at] == "string" else [text.alias("body")]))
     body = at if kinds[at] == "string" else len(cols) + 1
 
