@@ -13,8 +13,10 @@ that isn't the body and has an h1 beside it. Text beside it that stands only in
 
 Menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles are left out wherever they stand: by element, by role, by
 classes and ids. A class counts if its words are such a word and others that say nothing (`share-buttons`, but not `tags-intro`); what follows `with` or the
-like is no name (`layout-with-sidebar`); a few words (`SURE`) count beside any other. A form, or an element whose class isn't sure, stays if it holds over half of
-the page's text outside links and every article or main there is: a form about a whole page doesn't make its article a form. Character references are
+like is no name (`layout-with-sidebar`); a few words (`SURE`) count beside any other. A form, an element hidden from readers' aids, or an element whose class isn't sure or has
+other words too (`comments-open`), stays if it holds over half (of what is named for readers' talk, 19 of 20 parts) of the page's text outside links and every article or main there is: a form about a whole
+page doesn't make its article a form. Where a page has one article that stands out, of at least `SIZED` characters and over half of what stands in outermost
+articles, only containers in an article or main are looked at, so a larger block of what readers say beside it isn't taken for the article. Character references are
 decoded (one of over 4000 digits is U+FFFD), white space within a block becomes one space, blocks follow each other in page order, joined by one space.
 
 Any bytes are parsed in time that grows with their number: the tag pattern gives nothing back once taken, a tag that isn't closed ends with the page (as in
@@ -39,6 +41,8 @@ from .common import hot, parts, pick, written
 
 #: Paths ranked per host; a page that fits none of them falls back on its own best container.
 RANKED, FIT = 8, 0.3
+#: Characters outside links from which an article counts as one.
+SIZED = 200
 #: Bytes of paths up to which their table is sent to all tasks.
 SENT = 16 << 20
 
@@ -54,12 +58,13 @@ DROPPED = RAW | frozenset("head nav header footer aside button select svg canvas
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 SURE = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr comments disqus respond replies newsletter subscribe breadcrumb breadcrumbs navbar navigation pagination".split())
 WORDS = SURE | frozenset(
-    "promo promotion banner sidebar sidebars rail menu nav footer header masthead notice notices disclaimer alert popup modal overlay comment share sharing social signup login related recommended recommendations widget widgets pager paging toolbar skip tags hidden".split()
+    "promo promotion banner sidebar sidebars rail menu nav footer header masthead notice notices disclaimer alert popup modal overlay comment share sharing social signup login related recommended recommendations review reviews discussion discussions reactions feedback responses widget widgets pager paging toolbar skip tags hidden".split()
 )
 #: Words that say nothing of what an element is, and words before which a name ends. Fixed values.
 PLAIN = frozenset(
-    "box list block area wrap wrapper container section bar panel inner outer top bottom left right site page global item items link links button buttons post posts content body text row col column group main primary secondary form icon icons count feed card cards unit slot zone region holder story stories article articles entry news blog".split()
+    "box list block area wrap wrapper container section bar panel inner outer top bottom left right site page global item items link links button buttons post posts content body text row col column group main primary secondary form icon icons count feed card cards unit slot zone region holder story stories article articles entry news blog thread threads".split()
 )
+TALK = frozenset("reviews discussion discussions reactions feedback responses".split())
 STATES = frozenset("has with without no not is js".split())
 #: What ends an open <p>, and what an element of the same kind ends. Fixed values.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -87,7 +92,7 @@ def _decoded(text: str) -> str:
 class Node:
     __slots__ = ("tag", "key", "parent", "hard", "soft", "out", "start", "end", "score", "path", "top", "box", "h1", "size", "articles", "own", "linked", "heads")
 
-    def __init__(self, tag, key, parent, start, hard=False, soft=False):
+    def __init__(self, tag, key, parent, start, hard=False, soft=0):
         self.tag, self.key, self.parent, self.start, self.end, self.hard, self.soft, self.score = tag, key, parent, start, None, hard, soft, 0.0
         self.path = hash_of(key, parent.path if parent else 0)
         inside = parent is None or tag in CONTAINERS
@@ -99,22 +104,26 @@ class Node:
         self.own = self.linked = self.heads = 0  # characters that stand in it and in no container within it: outside links, in links, in an h1
 
 
-def _unwanted(tag: str, attributes: dict[str, str]) -> tuple[bool, bool]:
-    """(surely, perhaps)"""
+def _unwanted(tag: str, attributes: dict[str, str]) -> tuple[bool, int]:
+    """(surely, perhaps: as the part of twenty that it must hold of the page's text to stay; 0 if it may stay)"""
     role = attributes.get("role", "").lower()
-    if tag in DROPPED or role in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True, False
-    soft = tag == "form" or role == "form"
+    if tag in DROPPED or role in ROLES or "hidden" in attributes:
+        return True, 0
+    soft = 10 * (tag == "form" or role == "form" or attributes.get("aria-hidden") == "true")
     if tag in ("html", "body", "article", "main"):
         return False, soft
     if "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True, False
+        return True, 0
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         words = [w.lower() for w in SPLIT.split(name) if w]
         words = words[: next((i for i, w in enumerate(words) if w in STATES), len(words))]
-        if not SURE.isdisjoint(words):
-            return True, False
-        soft = soft or not WORDS.isdisjoint(words) and all(w in WORDS or w in PLAIN or w.isdigit() for w in words)
+        known = all(w in WORDS or w in PLAIN or w.isdigit() for w in words)
+        if known and not SURE.isdisjoint(words):
+            return True, 0
+        if known and not TALK.isdisjoint(words):
+            soft = 19
+        elif not soft and (not SURE.isdisjoint(words) or known and not WORDS.isdisjoint(words)):
+            soft = 10
     return False, soft
 
 
@@ -134,10 +143,18 @@ class Page:
         self._pop(0)
         self.root = self.every[0]
         self._settle()
-        self.best = max(self.nodes, key=lambda n: n.score, default=None)
+        articles = [n for n in self.nodes if n.tag == "article" and not n.out]
+        outer = [n for n in articles if not any(n is not m and m.start <= n.start and n.end <= m.end for m in articles[:64])] if len(articles) <= 64 else []
+        largest = max((n.size for n in outer), default=0)
+        self.within = largest >= SIZED and 2 * largest > sum(n.size for n in outer)  # the page has one article that stands out
+        self.best = max((n for n in self.nodes if self.fits(n)), key=lambda n: n.score, default=None)
         if self.best and not self.best.score > 0:
             self.best = None
 
+    def fits(self, node: Node) -> bool:
+        """Whether the main text may stand in this container: anywhere, or in an article or main where the page has one article."""
+        return not self.within or node.top is not None
+
     def _read(self, source: str) -> None:
         at = 0
         while found := TOKEN.search(source, at):
@@ -161,7 +178,7 @@ class Page:
                 continue
             if tag in BLOCKS:
                 self._imply(tag)
-            key, hard, soft = tag, tag in DROPPED, tag == "form"
+            key, hard, soft = tag, tag in DROPPED, 10 * (tag == "form")
             if found[3] and not found[3].isspace():
                 attributes = {k.lower(): _decoded(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(found[3])}
                 hard, soft = _unwanted(tag, attributes)
@@ -217,7 +234,7 @@ class Page:
                 node.parent.size += node.size
                 node.parent.articles += node.articles
         for node in self.every[1:]:
-            whole = 2 * node.size > self.root.size and node.articles == self.root.articles
+            whole = 20 * node.size > node.soft * self.root.size and node.articles == self.root.articles
             node.out = node.parent.out or node.hard or node.soft and not whole
             node.top = node.parent.top or (node if node.tag in ARTICLES and not node.out else None)
         for (i, node, linked), size in zip(self.texts, sizes, strict=True):
@@ -288,7 +305,7 @@ def main_text(source: str | None, ranked: list[str] | None = None) -> str:
         return page.text([page.root])
     for path in ranked or ():
         wanted = path_id(path)
-        nodes = [n for n in page.nodes if n.path == wanted and not n.out and n.score > 0]
+        nodes = [n for n in page.nodes if n.path == wanted and not n.out and n.score > 0 and page.fits(n)]
         if nodes and max(n.score for n in nodes) >= FIT * page.best.score:
             return page.text(page.whole(nodes))
     return page.text(page.whole([page.best]))

@@ -442,3 +442,53 @@ def test_top_k(spark, monkeypatch, block):
     assert top_k.search(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     twice = frame.union(frame.filter("vec_id < 3"))
     assert sorted(tuple(r) for r in top_k.search(twice, F.col("vec_id") % 20 == 0, k=5).collect()) == got
+
+
+BODY, TALK = "<p>" + "The article tells what happened. " * 23 + "</p>", "".join(f"<p>Reader {i} says a lot about it all, and then more.</p>" for i in range(40))
+TOLD = " ".join(("The article tells what happened. " * 23).split())
+
+
+@pytest.mark.parametrize("talk", ['<div class="reviews">{}</div>', '<section class="discussion">{}</section>', '<div class="x7">{}</div>', '<div id="comments">{}</div>', '<section><div class="thread">{}</div></section>'])
+@pytest.mark.parametrize("frame", ["<body><article>{}</article>{}</body>", "<body>{1}<article>{0}</article></body>", '<body><div class="page"><article><h2></h2>{}</article>{}</div></body>'])
+def test_html_article_before_larger_talk(talk, frame):
+    assert html_extract.main_text(frame.format(BODY, talk.format(TALK))) == TOLD
+
+
+@pytest.mark.parametrize("talk", ['<div class="reviews">{}</div>', '<section class="discussion">{}</section>', '<div class="comments-area">{}</div>'])
+def test_html_talk_in_main(talk):
+    assert html_extract.main_text(f"<body><main><article>{BODY}</article>{talk.format(TALK)}</main></body>") == TOLD
+
+
+@pytest.mark.parametrize("mark", ['class="post-12 hentry comments-open"', 'class="ads-enabled"', 'class="content ad-free"', 'id="newsletter-issue-12"', 'aria-hidden="true"'])
+@pytest.mark.parametrize("tag", ["div", "section", "article"])
+def test_html_no_page_lost_to_a_word(mark, tag):
+    page = f'<body><nav>Menu</nav><{tag} {mark}>{BODY}</{tag}><div class="comments">Short words.</div><footer>End</footer></body>'
+    assert html_extract.main_text(page) == TOLD
+
+
+@pytest.mark.parametrize("box", ['<div class="ad-box">{}</div>', '<div class="comments">{}</div>', '<div class="sponsored-unit x">{}</div>', '<div aria-hidden="true">{}</div>', '<div class="newsletter-signup">{}</div>', '<p class="cookie-notice">{}</p>'])
+def test_html_boxes_still_go(box):
+    for frame in ("<article>{}{}</article>", '<div class="post">{}{}</div>'):
+        assert html_extract.main_text(f"<body>{frame.format(BODY, box.format('Buy or say something here.'))}</body>") == TOLD
+
+
+def test_html_lists_of_articles_stay_whole():
+    cards = "".join(f"<article><p>{'Card text of some length here. ' * 9}</p></article>" for _ in range(5))
+    assert html_extract.main_text(f"<body><main>{cards}</main></body>").count("Card text") == 45
+
+
+def test_html_div_layouts_by_precision_and_recall(spark):
+    """Four hosts without article elements, each with its own layout and with talk that is larger than the article on every other page."""
+    layouts = ['<div class="wrap"><div class="story-{n}"><h1>{h}</h1>{b}</div><div class="comments-list">{t}</div></div>', '<div id="c"><div class="entry"><h1>{h}</h1><div class="txt">{b}</div></div><div class="reviews">{t}</div></div>',
+               '<table><tr><td class="side">Menu</td><td class="main"><h1>{h}</h1>{b}</td></tr></table><div id="disqus_thread">{t}</div>', '<div class="post"><h1>{h}</h1>{b}<div class="share-buttons">Tweet</div></div><section class="discussion">{t}</section>']
+    pages, want = [], {}
+    for i in range(80):
+        words = " ".join(random.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(60 + i))
+        talk = "".join(f"<p>{' '.join(random.choice('iota kappa lambda mu nu xi'.split()) for _ in range(20))}</p>" for _ in range(i % 2 * 12 + 1))
+        pages.append((i, f"https://h{i % 4}.example/p{i}", f"<body><nav>Home</nav>{layouts[i % 4].format(n=i, h=f'Title {i}', b=f'<p>{words}</p>', t=talk)}<footer>c</footer></body>"))
+        want[i] = Counter(f"Title {i} {words}".split())
+    right = found = wanted = 0
+    for r in html_extract.extract(spark.createDataFrame(pages, PAGES)).collect():
+        got = Counter(r.text.split())
+        right, found, wanted = right + (got & want[r.page_id]).total(), found + got.total(), wanted + want[r.page_id].total()
+    assert right / found > 0.99 and right / wanted > 0.99
