@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 BLANK = r"(?U)^\s*$"
 EDGES = r"(?U)^\s+|\s+$"
 UPPERCASE = r"\p{IsUppercase}"
+BEYOND = r"[\x{10000}-\x{10FFFF}]"
 LINT_CAPS = "[A-ZÀ-Ý]"
 LINT_DATE = r"^\d{4}-\d{2}-\d{2}\z"
 INTEGER = r"^[+-]?[0-9]+\z"
@@ -22,9 +23,17 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, EDGES, "")
 
 
+def fold_pattern(term: str) -> str:
+    """A pattern that finds the term literally, character by character: two characters are equal if they are, or if the lower cases of their upper cases are. So
+    dotted and dotless i, long s and the Kelvin sign meet i, s and k, while a sharp s meets no double s. Characters beyond U+FFFF keep their case apart, as each
+    counts as two characters that have none."""
+    quoted = [f"\\x{{{ord(c):x}}}" if ord(c) <= 0xFFFF else f"(?-i:\\x{{{ord(c):x}}})" for c in term]
+    return "(?iu)" + "".join(quoted)
+
+
 def contains_fold(c: Column, term: str) -> Column:
-    """Whether the text holds the term, literally, in any case; the term isn't trimmed."""
-    return F.contains(F.lower(c), F.lower(F.lit(term)))
+    """Whether the text holds the term, literally, in any case of each character; the term isn't trimmed."""
+    return c.rlike(fold_pattern(term))
 
 
 def matches_any(columns: list[Column], term: str) -> Column:
@@ -75,8 +84,8 @@ def two_digits(c: Column) -> Column:
 
 
 def valid_you_say(c: Column) -> Column:
-    """At least two characters after trimming, and an uppercase one."""
-    return (F.char_length(trimmed(c)) >= 2) & trimmed(c).rlike(UPPERCASE)
+    """At least two characters after trimming, and an uppercase one. A character beyond U+FFFF counts as two."""
+    return ((F.char_length(trimmed(c)) >= 2) | trimmed(c).rlike(BEYOND)) & trimmed(c).rlike(UPPERCASE)
 
 
 def lint_caps(c: Column) -> Column:

@@ -41,9 +41,11 @@ def tiles(progressed: DataFrame) -> DataFrame:
 
 
 def home_order(rows: DataFrame) -> DataFrame:
-    """Adds `place`: the committed languages by name, then all others by name; equal names keep the catalog's order."""
-    group = F.when(F.col("status") == COMMITTED, 0).otherwise(1)
-    return rows.withColumn("bench", group == 1).withColumn("place", F.row_number().over(Window.orderBy(group, "name", "ord")))
+    """Adds `place`: the committed languages by name, then all others by name; equal names keep the catalog's order. Numbered by ranges of that order, so
+    rows are nowhere gathered whole."""
+    group = F.coalesce(F.col("status") != COMMITTED, F.lit(True))
+    placed = numbered(rows.withColumn("bench", group), [], ["bench", "name", "ord"], "place")
+    return placed.withColumn("place", F.col("place").cast("int"))
 
 
 def lesson_counts(phrases: DataFrame, lang: str) -> DataFrame:
@@ -95,9 +97,10 @@ def glue_line() -> Column:
 
 
 def hard_deck(catalog: DataFrame, phrases: DataFrame, stars: DataFrame) -> DataFrame:
-    """Starred phrases of catalog languages; a star without a phrase is left out."""
+    """Starred phrases of catalog languages; a star without a phrase is left out. A language that the catalog lists twice comes once, at its first place."""
     s = stars.select(F.col("lang").alias("file_lang"), F.col("item_id").alias("id"))
-    rows = phrases.join(s, ["file_lang", "id"], "left_semi").join(catalog.select(F.col("code").alias("file_lang"), F.col("ord").alias("cat_ord")), "file_lang")
+    listed = catalog.groupBy(F.col("code").alias("file_lang")).agg(F.min("ord").alias("cat_ord"))
+    rows = phrases.join(s, ["file_lang", "id"], "left_semi").join(listed, "file_lang")
     return rows.select("cat_ord", "ord", "file_lang", "id", "english", "you_say", F.concat(F.upper("lang"), F.lit(" · "), F.col("id")).alias("caption"))
 
 

@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..functions.themes import THEMES
 from ..operators import lint, phrases, state
 from ..operators.ranking import numbered
-from . import content
+from . import content, stored
 from . import driver_tables as d
 from .driver_tables import CAT_SQL, EV_SQL, P_SQL, POS_SQL, STAR_SQL
 
@@ -321,8 +321,8 @@ def row_numbers(spark, sf):
 
 
 def queries() -> dict:
-    return {name: f for name, (f, _) in _all.items()} | content.queries()
+    return {name: f for name, (f, _) in _all.items()} | content.queries() | stored.queries()
 
 
 def oracle_sql() -> dict:
-    return {name: sql for name, (_, sql) in _all.items()} | content.oracle_sql()
+    return {name: sql for name, (_, sql) in _all.items()} | content.oracle_sql() | stored.oracle_sql()

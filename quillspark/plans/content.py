@@ -11,7 +11,6 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.schemas import LOG
 from ..functions.text import next_index
 from ..operators import lint, phrases, state
 from ..sources import files
@@ -56,7 +55,7 @@ def source_phrases(spark, sf):
 
 
 def source_status(spark, sf):
-    return files.page_state(_phrases(spark, sf)[1])
+    return files.page_state(_phrases(spark, sf)[1]).select("asset", "status", "rows", "page")
 
 
 def source_catalog(spark, sf):
@@ -104,7 +103,7 @@ def source_catalog_files(spark, sf):
     """Each catalog language with the file its code leads to, and what became of that."""
     folder = _folder(spark, sf)
     catalog, _ = files.load_catalog(spark, folder)
-    _, status = files.load_phrases(spark, folder, [*LANGS, "pt"])
+    status = files.load_phrases(spark, folder, [*LANGS, "pt"])[1].drop("detail")
     asset = F.concat("code", F.lit(".jsonl"))
     return catalog.join(status.withColumnRenamed("status", "loaded"), asset == F.col("asset")).select("ord", "code", "asset", "loaded", "rows")
 
@@ -128,7 +127,7 @@ def _view_rows(spark, sf, log: str) -> None:
 def state_positions_written(spark, sf):
     log = shared_folder(spark, "log")
     _view_rows(spark, sf, log)
-    return state.positions(spark.read.schema(LOG).parquet(log))
+    return state.positions(state.read_log(spark, log))
 
 
 def state_toggles_written(spark, sf):
@@ -136,7 +135,7 @@ def state_toggles_written(spark, sf):
     clicks = d.events(spark, sf).filter("event_type = 'click'")
     for part in range(3):
         state.append(state.changes(clicks.filter(F.col("seq") % 3 == part), state.STAR, F.col("lang"), item_id=F.col("item_id")), log)
-    return state.stars(spark.read.schema(LOG).parquet(log))
+    return state.stars(state.read_log(spark, log))
 
 
 def step_visible(spark, sf):

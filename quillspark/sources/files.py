@@ -2,19 +2,23 @@
 
 A file is all or nothing: one line or element that can't be read makes it malformed and gives no rows. Status is one of ok, missing, malformed, empty. Unknown keys
 are ignored; a default stands for an absent key only, so an explicit null in a required field is malformed; a whole number may be quoted. Every row carries
-`ord`, its place in the file, since Spark's rows have no order. Files are read whole, one row a file, by the executors.
+`ord`, its place in the file, since Spark's rows have no order.
+
+Files of lines are read in byte ranges, however large: each range's lines are numbered where they are read and shifted by the numbers of lines in the file's earlier
+ranges, a table of one row a range. Whether a file may be taken is decided by the same table's counts. The lines are read and parsed once, into a table in the shared folder. Files
+that are one JSON value, which has no lines to cut at, are read whole, one row a file, by the executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.schemas import INTEGERS, LANGUAGE, NUMBER, PHRASE, SOUND, snake
 from ..functions.text import int_or_null, is_blank
+from .folders import kept, listed
 
 OK, MISSING, MALFORMED, EMPTY = "ok", "missing", "malformed", "empty"
-LINES = r"\r\n|\r|\n"
 
 
 def _whole(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
@@ -70,12 +74,54 @@ def _gated(files: DataFrame, rows: DataFrame, broken: Column, need_rows: bool, m
     return rows.join(F.broadcast(good), "asset", "left_semi").select("asset", "ord", "row.*"), status
 
 
+def _ranges(spark: SparkSession, path: str | list[str], line_sep: str | None = None) -> DataFrame:
+    """(asset, range, at, line): the lines of files that aren't blank. A range is the byte of its file at which it starts, `at` rises along it. Without
+    line_sep, a line ends at a line feed, a carriage return or both."""
+    read = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "false")
+    read = (read if line_sep is None else read.option("lineSep", line_sep)).text(path)
+    lines = read.select(F.col("_metadata.file_name").alias("asset"), F.col("_metadata.file_block_start").alias("range"), F.col("value").alias("line")).filter(~is_blank(F.col("line")))
+    return lines.withColumn("at", F.monotonically_increasing_id())
+
+
+def _shifted(lines: DataFrame, *sums: Column) -> tuple[DataFrame, DataFrame]:
+    """`lines` (asset, range, at, ...), as they were kept, with `ord` from 0 in place of range and at; and (asset, rows, sums...)."""
+    ranges = kept(lines.groupBy("asset", "range").agg(F.count("*").alias("rows"), F.min("at").alias("first"), *sums), "ranges")
+    before = Window.partitionBy("asset").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = ranges.select("asset", "range", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    # lines of a range follow one another in the task that read it, so `at` has no gap between them
+    placed = lines.join(shifts, ["asset", "range"]).withColumn("ord", F.col("at") + F.col("shift")).drop("range", "at", "shift")
+    extra = [c for c in ranges.columns if c not in ("asset", "range", "rows", "first")]
+    return placed, ranges.groupBy("asset").agg(F.sum("rows").alias("rows"), *(F.sum(c).alias(c) for c in extra))
+
+
 def load_phrases(spark: SparkSession, folder: str, langs: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Phrases of <lang>.jsonl with file_lang and ord, and the status of each file; blank lines are skipped and a file without rows is empty."""
-    files = _whole(spark, folder, [f"{x}.jsonl" for x in langs])
-    lines = F.filter(F.split("body", LINES), lambda x: ~is_blank(x))
-    rows, status = _gated(files, _rows(files, lines, PHRASE), F.lit(False), need_rows=True)
-    return rows.withColumn("file_lang", F.regexp_replace("asset", r"\.jsonl\z", "")).drop("asset"), status
+    """Phrases of <lang>.jsonl with file_lang and ord, and the status of each file; blank lines are skipped and a file without rows is empty. The status has `detail`: the
+    number (from 1, blank lines left out) of a malformed file's first bad line, or what an empty file lacks."""
+    names = [f"{x}.jsonl" for x in langs]
+    sizes = {name: size for name, is_folder, size in listed(spark, folder) if not is_folder}
+    wanted = spark.createDataFrame([(n, n in sizes) for n in names], "asset string, there boolean")
+    paths = [f"{folder}/{n}" for n in names if sizes.get(n)]
+    if paths:
+        parsed = _ranges(spark, paths).withColumn("v", F.try_parse_json("line"))
+        parsed = parsed.select("asset", "range", "at", F.struct(*_fields(F.col("v"), PHRASE)).alias("row"))
+        bad = F.lit(False)
+        for key in PHRASE:
+            bad = bad | F.col(f"row.{snake(key)}").isNull()
+        lines, counts = _shifted(kept(parsed.withColumn("bad", bad), "phrases"), F.count_if("bad").alias("bads"))
+    else:
+        shape = ", ".join(f"{snake(k)} {'int' if k in INTEGERS else 'string'}" for k in PHRASE)
+        lines = spark.createDataFrame([], f"asset string, row struct<{shape.replace(' ', ':').replace(',:', ',')}>, bad boolean, ord long")
+        counts = spark.createDataFrame([], "asset string, rows long, bads long")
+    n, bads = F.coalesce("rows", F.lit(0)), F.coalesce("bads", F.lit(0))
+    what = F.when(~F.col("there"), MISSING).when(bads > 0, MALFORMED).when(n == 0, EMPTY).otherwise(OK)
+    first_bad = lines.filter("bad").groupBy("asset").agg(F.min("ord").alias("first_bad"))
+    stem = F.regexp_replace("asset", r"\.jsonl\z", "")
+    detail = F.when(F.col("status") == MALFORMED, F.concat(F.lit("line "), F.col("first_bad") + 1)).when(F.col("status") == EMPTY, F.concat(F.lit("phrases:"), stem))
+    status = wanted.join(F.broadcast(counts), "asset", "left").join(F.broadcast(first_bad), "asset", "left").withColumn("status", what)
+    status = status.select("asset", "status", F.when(F.col("status") == OK, n).otherwise(0).cast("long").alias("rows"), detail.alias("detail"))
+    good = status.filter(F.col("status") == OK).select("asset")
+    rows = lines.join(F.broadcast(good), "asset", "left_semi").select("ord", "row.*", stem.alias("file_lang"))
+    return rows, status
 
 
 def _array(spark: SparkSession, folder: str, name: str, shape: dict) -> tuple[DataFrame, DataFrame]:
@@ -106,8 +152,14 @@ def page_state(status: DataFrame) -> DataFrame:
     return status.withColumn("page", F.when(F.col("status") == OK, F.lit("ready")).when(F.col("status") == MALFORMED, F.lit("failed")).otherwise(F.lit("empty")))
 
 
-def lines_of(spark: SparkSession, pattern: str) -> DataFrame:
-    """(file, line_no, line) of all *.jsonl under a path; lines are numbered without the blank ones."""
-    read = spark.read.option("pathGlobFilter", "*.jsonl").text(pattern, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    kept = F.filter(F.split("value", "\n"), lambda x: ~is_blank(x))
-    return read.select("file", F.posexplode(kept).alias("at", "line")).select("file", (F.col("at") + 1).alias("line_no"), "line")
+def files_of(spark: SparkSession, folder: str) -> DataFrame:
+    """(file): all *.jsonl in a folder, with or without lines."""
+    return spark.createDataFrame([(n,) for n, is_folder, _ in listed(spark, folder) if n.endswith(".jsonl") and not is_folder], "file string")
+
+
+def lines_of(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, line_no, line) of all *.jsonl in a folder; a line ends at a line feed, and lines are numbered without the blank ones."""
+    if not any(size for n, is_folder, size in listed(spark, folder) if n.endswith(".jsonl") and not is_folder):
+        return spark.createDataFrame([], "file string, line_no long, line string")
+    placed, _ = _shifted(kept(_ranges(spark, folder, "\n"), "lines"))
+    return placed.select(F.col("asset").alias("file"), (F.col("ord") + 1).alias("line_no"), "line")
