@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.schemas import LOG
 from ..functions.text import clamped, int_or_null
-from ..sources.folders import listed, put, text_of, there
+from ..sources.folders import drop, listed, put, text_of, there
 
 KEY = ["op", "lang", "theme", "item_id"]
 DONE = "_SUCCESS"
@@ -46,7 +46,7 @@ def append(log: DataFrame, path: str, batch: str | None = None) -> str:
     rows = log.select(*LOG.fieldNames())
     name = batch if batch is not None else batch_name(rows)
     folder = f"{path}/batch={name}"
-    if not there(spark, f"{folder}/{DONE}"):
+    if not there(spark, f"{folder}/{DONE}") and name not in _snapshot(spark, path)[1]:
         rows.write.mode("overwrite").parquet(folder)
     return name
 
@@ -115,6 +115,17 @@ def compact(spark: SparkSession, path: str) -> int:
     return number + 1
 
 
+def retire(spark: SparkSession, path: str) -> None:
+    """Deletes what the last snapshot makes needless: the batches it covers, whose names it keeps, so that they aren't appended again, and the snapshots before it. The
+    log then holds one row a key and what came after; a stream must have read the batches before."""
+    number, covered = _snapshot(spark, path)
+    for n in covered:
+        drop(spark, f"{path}/batch={n}")
+    for n in range(1, number):
+        drop(spark, f"{path}/snapshot-{n}.json")
+        drop(spark, f"{path}/snapshot={n}")
+
+
 def current(spark: SparkSession, path: str, op: str | None = None, lang: str | None = None) -> DataFrame:
     """The fold of the whole log, of one kind and language if they are given: the last snapshot, of which only these partitions are read, with the batches after it.
     Batches are folded by distinct seq among themselves; a seq isn't in two batches of different names."""

@@ -35,8 +35,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 def _clean() -> None:
     for spark, path in _made:
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            drop(spark, path)
         except Exception:  # the session has ended: nothing reads the folder any more
             return
 
@@ -63,6 +62,12 @@ def there(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def text_of(spark: SparkSession, path: str) -> str:
     """A small file's text."""
     return spark.read.text(path, wholetext=True).first().value

@@ -78,6 +78,21 @@ def test_snapshots_and_what_came_after(spark, tmp_path):
     assert state.compact(spark, log) == 3 and rows_of(state.current(spark, log)) == rows_of(now)
 
 
+def test_what_a_snapshot_covers_can_go(spark, tmp_path):
+    log = str(tmp_path / "log")
+    some = spark.createDataFrame(rows(200), LOG)
+    first = state.append(some.filter("seq < 120"), log)
+    state.compact(spark, log)
+    state.append(some.filter("seq >= 120 AND seq < 160"), log, "two")
+    state.compact(spark, log)
+    state.append(some.filter("seq >= 160"), log, "three")
+    state.retire(spark, log)
+    assert state.batches(spark, log) == ["three"] and sorted(n for n, _, _ in listed(spark, log)) == ["batch=three", "snapshot-2.json", "snapshot=2"]
+    assert folds(state.as_log(state.current(spark, log))) == folds(some)
+    assert state.append(some.filter("seq < 120"), log) == first and state.batches(spark, log) == ["three"]  # a covered batch stays one that was
+    assert state.compact(spark, log) == 3 and folds(state.as_log(state.current(spark, log))) == folds(some)
+
+
 def test_a_point_read_opens_its_partitions_only(spark, tmp_path):
     log = str(tmp_path / "log")
     state.append(spark.createDataFrame(rows(300), LOG), log)
