@@ -6,7 +6,8 @@ same dimension make a tile. A vector's components are split into `segments`; a s
 1. Each query block meets about the square root of the number of candidate blocks. Such a tile takes, for each query, the k best entries of each segment's
    list, resolves them, and reports the k best totals. The k-th best of all reported totals of a query is a safe cutoff: k candidates reach it,
    whatever the blocks that weren't met hold.
-2. The cutoff goes to all tiles with the query block. A tile computes its lists, once. With lo_j the least partial score of segment j in the tile, an entry that
+2. The cutoff goes to all tiles with the query block. Query blocks are grouped, up to `TOGETHER`, and so are candidate blocks; a group of queries is held by the
+   task that has a group of candidates streamed past it, so a block moves once for each group of the other side and not for each block. A tile computes its lists, once. With lo_j the least partial score of segment j in the tile, an entry that
    reaches the cutoff has some partial score of at least lo_j + (cutoff - sum of lo) / segments; the tile collects the entries for which that holds.
 3. The tile resolves the remaining segments of these entries exactly and reports those at or over the cutoff, at most k a query, ties to the
    smaller vec_id; the best k over all tiles are the answer.
@@ -29,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import parts, pick, written
 
 K, SCALE, SEGMENTS, EVERY = 20, 64, 2, 20
 BLOCK, QUERIES = 2048, 512
+#: Query blocks that a task holds, and candidate blocks that pass them, at most.
+TOGETHER = 16, 32
 _LOWEST = -(1 << 63)
 
 
@@ -125,9 +128,24 @@ def sufficient(lists: list[np.ndarray], cut: np.ndarray) -> tuple[np.ndarray, np
     return np.nonzero(enough)
 
 
+def _passed(batches):
+    """(query ids, queries, candidate ids, candidates, cutoffs) of the tiles of rows in which a group's queries come before its candidates."""
+    now, held = None, []
+    for batch in batches:
+        for *group, candidates, ids, width, matrix, cut in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            ids = np.frombuffer(ids, np.int64)
+            rows = _wide(matrix, len(ids), width)
+            if group != now:
+                now, held = group, []
+            if candidates:
+                for q_ids, q, least in held:
+                    yield q_ids, q, ids, rows, least
+            else:
+                held.append((ids, rows, np.frombuffer(cut, np.int64)))
+
+
 def _second_phase(batches, k: int, segments: int):
-    for q_ids, q, c_ids, c, (cut,) in _tiles(batches):
-        cut = np.frombuffer(cut, np.int64)
+    for q_ids, q, c_ids, c, cut in _passed(batches):
         lists = _partials(q, c, segments)
         at_q, at_c = sufficient(lists, cut)
         total = sum((s[at_q, at_c] for s in lists[1:]), lists[0][at_q, at_c])
@@ -163,8 +181,20 @@ def search(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, segment
     cutoffs = near.withColumn("place", F.row_number().over(down)).filter(F.col("place") <= k).groupBy("query_id").agg(F.min("total").alias("least"), F.count("*").alias("n"))
     cutoffs = written(cutoffs.select(F.col("query_id").alias("vec_id"), F.when(F.col("n") == k, F.col("least")).otherwise(_LOWEST).alias("cutoff")), "top-cutoffs")
     with_cut = asked.join(cutoffs, "vec_id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(_LOWEST)))
-    second, _ = _packed(with_cut, QUERIES, n_asked, scale, cutoffs=True)
-    found = tiles(second, blocks, "cutoffs").mapInArrow(lambda b: _second_phase(b, k, segments), "query_id long, vec_id long, score long")
+    second, asked_blocks = _packed(with_cut, QUERIES, n_asked, scale, cutoffs=True)
+    tasks = parts(vectors.sparkSession)
+    held = min(TOGETHER[0], asked_blocks)
+    ways = -(-asked_blocks // held)
+    past = max(1, min(TOGETHER[1], blocks * ways // (4 * tasks)))  # fewer where tasks would be too few
+    groups = -(-blocks // past)
+    copied = lambda rows, name, n: rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    queries = copied(second.withColumn("way", F.floor(F.col("block") / held).cast("int")), "group", groups)
+    answers = copied(packed.withColumn("group", F.floor(F.col("c_block") / past).cast("int")), "way", ways)
+    both = queries.select("dim", "way", "group", F.lit(False).alias("candidates"), "ids", "width", "matrix", "cutoffs").unionAll(
+        answers.select("dim", "way", "group", F.lit(True), F.col("c_ids"), F.col("c_width"), F.col("c"), F.lit(None).cast("binary"))
+    )
+    sent = both.repartition(tasks, "dim", "way", "group").sortWithinPartitions("dim", "way", "group", "candidates")
+    found = sent.mapInArrow(lambda b: _second_phase(b, k, segments), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -492,3 +492,13 @@ def test_html_div_layouts_by_precision_and_recall(spark):
         got = Counter(r.text.split())
         right, found, wanted = right + (got & want[r.page_id]).total(), found + got.total(), wanted + want[r.page_id].total()
     assert right / found > 0.99 and right / wanted > 0.99
+
+
+@pytest.mark.parametrize("together", [(1, 3), (2, 32), (16, 1)])
+def test_top_k_in_groups(spark, monkeypatch, together):
+    """Several groups of queries and of candidates: each pair of groups meets once."""
+    for name, value in (("BLOCK", 13), ("QUERIES", 2), ("TOGETHER", together)):
+        monkeypatch.setattr(top_k, name, value)
+    rows = [(i, [random.gauss(0, 1) for _ in range(3 + i % 2)]) for i in range(200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in top_k.search(frame, F.col("vec_id") % 10 == 0, k=4).collect()) == top_brute(rows, 4, 10)
