@@ -17,14 +17,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.schemas import LOG
 from ..operators.state import STAR, keyed
+from ..sources.folders import listed
 
 #: What is told of a key: its value (of a star: on or off), the change it comes from, and how often it has changed.
 TOLD = "op string, lang string, theme int, item_id string, value string, seq long, version long"
 
 
 def read_log(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
-    """The batches of a stored log as they arrive, at most so many files a trigger."""
-    return spark.readStream.schema(LOG).option("maxFilesPerTrigger", files).parquet(f"{path}/batch=*")
+    """The batches of a stored log as they arrive, or a folder of log files without batches, at most so many files a trigger."""
+    bare = any(name.endswith(".parquet") and not is_folder for name, is_folder, _ in listed(spark, path))
+    return spark.readStream.schema(LOG).option("maxFilesPerTrigger", files).parquet(path if bare else f"{path}/batch=*")
 
 
 def latest(log: DataFrame, op: str, *keys: str) -> DataFrame:
