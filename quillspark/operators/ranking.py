@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 MOST, LOOKED = 4096, 16
 
 
-def _cuts(df: DataFrame, columns: list[str], pieces: int) -> tuple[Column, int]:
-    """An array of places (structs of the columns) that cut the sorted rows into about even pieces, and its size. They are quantiles of the rows with the smallest hashes,
-    LOOKED for each piece: a bounded sample, and the same one each time."""
-    rows = df.select(*columns)
-    seen = rows.orderBy(F.xxhash64(*columns)).limit(LOOKED * pieces).orderBy(*columns)
+def _cuts(df: DataFrame, columns: list[str], pieces: int, n: int) -> tuple[Column, int]:
+    """An array of places (structs of the columns) that cut the n rows, sorted, into about even pieces, and its size. They are quantiles of the rows with the smallest hashes,
+    LOOKED for each piece: a bounded sample, and the same one each time. A threshold that some more rows meet keeps all others where they are."""
+    rows, most, h = df.select(*columns), LOOKED * pieces, F.xxhash64(*columns)
+    few = rows if n <= 2 * most else rows.filter(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 1.5 * most / n))
+    seen = few.orderBy(h).limit(most).orderBy(*columns)
     text = [r.j for r in seen.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("j")).collect()]
     chosen = list(dict.fromkeys(text[i * len(text) // pieces] for i in range(1, pieces))) if text else []
     return F.from_json(F.lit(f"[{','.join(chosen)}]"), f"array<{rows.select(F.struct(*columns).alias('s')).schema['s'].dataType.simpleString()}>"), len(chosen)
@@ -35,10 +36,11 @@ def numbered(df: DataFrame, keys: list[str], ord_: str | list[str], name: str =
     stretch or lie far off make a piece large. A piece's rows are numbered by one task, key by key, and shifted by the sizes of the same key's earlier pieces (a table
     of at most a row a key and one a piece). The sample decides how even pieces are and nothing else. A table of one piece needs no cut."""
     order = [ord_] if isinstance(ord_, str) else list(ord_)
-    pieces = min(-(-df.count() // block), MOST)
+    total = df.count()
+    pieces = min(-(-total // block), MOST)
     if pieces < 2:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)).cast("long"))
-    cuts, n = _cuts(df, [*keys, *order], pieces)
+    cuts, n = _cuts(df, [*keys, *order], pieces, total)
     cut = df.withColumn("_piece", _piece(F.struct(*keys, *order), cuts, n))
     sizes = cut.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

@@ -82,8 +82,8 @@ def test_lint_as_released(spark, tmp_path):
 
 def pieces(frame, keys, order, block):
     """The largest piece that one task numbers."""
-    n = min(-(-frame.count() // block), ranking.MOST)
-    cuts, many = ranking._cuts(frame, [*keys, *order], n)
+    total = frame.count()
+    cuts, many = ranking._cuts(frame, [*keys, *order], min(-(-total // block), ranking.MOST), total)
     return frame.groupBy(*keys, ranking._piece(F.struct(*keys, *order), cuts, many).alias("piece")).count().agg(F.max("count")).first()[0], many + 1
 
 
