@@ -39,33 +39,33 @@ def toggles(log: DataFrame, op: str) -> DataFrame:
     return log.filter(F.col("op") == op).groupBy("lang", "item_id").agg((F.count("*") % 2 == 1).alias("starred"))
 
 
-def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    op, lang, theme, item = key
-    value, seq, toggled, version = state.get if state.exists else (None, None, 0, 0)
-    before, top, text = value, seq, value
-    seen: set[int] = set()
-    for frame in frames:
-        for s, payload in zip(frame["seq"].tolist(), frame["payload"].tolist(), strict=True):
-            if s in seen:
-                continue
-            seen.add(s)
-            toggled ^= 1
-            if top is None or s > top:
-                top, text = s, payload
-    value = ("on" if toggled else "off") if op == STAR else text
-    changed = not version or value != before
-    version += changed
-    state.update((value, top, toggled, version))
-    if changed:
-        theme = None if theme is None or theme != theme else int(theme)
-        yield pd.DataFrame([(op, lang, theme, item, value, top, version)], columns=[c.split()[0] for c in TOLD.split(", ")]).astype({"theme": "Int32"})
-
-
 def observed(log: DataFrame) -> DataFrame:
     """TOLD, a row for each change of a key's value; run it in update mode. State is one row a key. A key's rows of a trigger go through one task in Arrow
     batches, and of them only their numbers are held."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        op, lang, theme, item = key
+        value, seq, toggled, version = state.get if state.exists else (None, None, 0, 0)
+        before, top, text = value, seq, value
+        seen: set[int] = set()
+        for frame in frames:
+            for s, payload in zip(frame["seq"].tolist(), frame["payload"].tolist(), strict=True):
+                if s in seen:
+                    continue
+                seen.add(s)
+                toggled ^= 1
+                if top is None or s > top:
+                    top, text = s, payload
+        value = ("on" if toggled else "off") if op == STAR else text
+        changed = not version or value != before
+        version += changed
+        state.update((value, top, toggled, version))
+        if changed:
+            theme = None if theme is None or theme != theme else int(theme)
+            yield pd.DataFrame([(op, lang, theme, item, value, top, version)], columns=[c.split()[0] for c in TOLD.split(", ")]).astype({"theme": "Int32"})
+
     rows = keyed(log.filter(F.col("seq").isNotNull() & F.col("op").isNotNull())).select(*LOG.fieldNames())
-    return rows.groupBy("op", "lang", "theme", "item_id").applyInPandasWithState(_step, TOLD, "value string, seq long, toggled int, version long", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("op", "lang", "theme", "item_id").applyInPandasWithState(step, TOLD, "value string, seq long, toggled int, version long", "update", GroupStateTimeout.NoTimeout)
 
 
 def follow(log: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
