@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, ship
+from .common import pick, ship, trimmed
 from .units import slices
 
 SAMPLE, BITS, GRAMS = 3000, 17, 3
@@ -173,7 +173,7 @@ def fitted(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYT
                     yield pa.RecordBatch.from_pydict({"h": [h], "lang": [lang], "crc": [zlib.crc32(text.encode("utf-8", "surrogatepass"))], "slots": [got[0].tobytes()], "n": [got[1].tobytes()]})
 
     ship(docs.sparkSession)
-    got = rows.select("h", "lang", "text").mapInArrow(run, "h long, lang string, crc long, slots binary, n binary").collect()
+    got = rows.select("h", "lang", "text").mapInArrow(lambda b: trimmed(run(b)), "h long, lang string, crc long, slots binary, n binary").collect()
     got.sort(key=lambda r: (r.h, r.lang, r.crc))
     return train([(np.frombuffer(r.slots, np.int32), np.frombuffer(r.n, np.int32)) for r in got], [r.lang for r in got])
 
@@ -193,7 +193,7 @@ def predicted(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> Dat
     kinds = dict(docs.dtypes)
     base = pick(docs, text="string", doc_id="long", **{k: kinds[k] for k in extra})
     base = base.select("text", "doc_id", _held_out().alias("held_out"), *extra)
-    return base.mapInArrow(run, "doc_id long, held_out boolean, " + "".join(f"`{k}` {kinds[k]}, " for k in extra) + "lang_pred string, score double")
+    return base.mapInArrow(lambda b: trimmed(run(b)), "doc_id long, held_out boolean, " + "".join(f"`{k}` {kinds[k]}, " for k in extra) + "lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
@@ -210,7 +210,7 @@ def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
                 names, scores = shared.value.predict([x or "" for x in rows.column(at).to_pylist()])
                 yield rows.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(lambda b: trimmed(run(b)), plain.schema).toDF(*docs.columns)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

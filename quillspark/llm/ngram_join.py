@@ -37,15 +37,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, hot, parts, pick, spread_join, text_name, written
+from .common import NO_ID, hot, parts, pick, spread_join, text_name, trimmed, written
 from .components import components
 from .units import slices
 
 WORDS, PERCENT = 5, 75
 SHORT, LONG = 32, 128
 BLOCK, BLOCK_SHINGLES, GROUPS, LEAF = 2000, 2_000_000, 64, 16
-#: Names of words that a worker remembers, of words up to so many bytes.
-KEPT, KEPT_BYTES = 400_000, 64
+#: Names of words that a worker remembers to the end of its task, of words up to so many bytes.
+KEPT, KEPT_BYTES = 200_000, 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -167,6 +167,7 @@ def _sets(batches, words: int, long: int):
             at = np.repeat(starts - (np.cumsum(few) - few), few) + np.arange(few.sum())
             low = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(few)]).astype(np.int32)), pa.array(found[at].view(np.int64)))
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n.astype(np.int64)), pa.array(cid[:, 0].copy()), pa.array(cid[:, 1].copy()), low], names=[k.split()[0] for k in SETS.split(", ")])
+    _names.clear()
 
 
 class Tree:
@@ -273,7 +274,7 @@ def _families(batches, words: int, percent: int):
 def classes(docs: DataFrame, words: int = WORDS, long: int = LONG) -> DataFrame:
     """(doc_id, dk, th, n, c1, c2, low): size and class of each row's set, and its smallest names."""
     base = pick(docs, doc_id="long", text="string").select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("dk"), text_name(F.col("text")).alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
-    return base.mapInArrow(lambda b: _sets(b, words, long), SETS)
+    return base.mapInArrow(lambda b: trimmed(_sets(b, words, long)), SETS)
 
 
 def _candidates(rows: DataFrame, percent: int, short: int, long: int) -> tuple[DataFrame, DataFrame]:
@@ -326,7 +327,7 @@ def _blocked(rows: DataFrame, block: int, percent: int, heavy: DataFrame, name:
 def _compared(sent: DataFrame, words: int, percent: int, name: str) -> DataFrame:
     """(u, v) of (task, side, node, label, bytes)."""
     ordered = sent.select("task", "side", "node", "label", "bytes").repartition(parts(sent.sparkSession), "task").sortWithinPartitions("task")
-    return written(ordered.mapInArrow(lambda b: _families(b, words, percent), "u long, v long"), name)
+    return written(ordered.mapInArrow(lambda b: trimmed(_families(b, words, percent)), "u long, v long"), name)
 
 
 def _met(ours: DataFrame, our_blocks: DataFrame, theirs: DataFrame, their_blocks: DataFrame, same: bool) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, pick, written
+from .common import parts, pick, trimmed, written
 from .units import slices
 
 CAPACITY, END_ID = 1024, 2
@@ -128,7 +128,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                         at, k = at + size, k + 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(run, PIECES)
+    return pick(docs, doc_id="long", text="string").mapInArrow(lambda b: trimmed(run(b)), PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
